@@ -10,6 +10,7 @@ import struct
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @functools.lru_cache(maxsize=1)
@@ -44,17 +45,17 @@ def placement_checksum(stream_id: str, partition: int) -> int:
     return crc32c(struct.pack(">I", len(name)) + name + struct.pack(">I", partition))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def crc32c_col(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else crc32c(bytes(b))).astype("Int64")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def xxh64_hex_col(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else f"{xxh64(bytes(b)):016x}")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def bucket_col(stream_id: pd.Series, partition: pd.Series) -> pd.Series:
     """Three lowercase hex digits: the low 12 bits of the placement checksum."""
     return pd.Series([f"{placement_checksum(s, int(p)) & 0xFFF:03x}" for s, p in zip(stream_id, partition)])

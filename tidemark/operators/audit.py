@@ -3,18 +3,20 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ORDER = Window.partitionBy("partition").orderBy("lsn")
+
+def _order():
+    return Window.partitionBy("partition").orderBy("lsn")
 
 
 def lsn_gaps(records: DataFrame) -> DataFrame:
     """Places where a sequence number does not follow its predecessor."""
-    previous = F.lag("lsn").over(ORDER)
+    previous = F.lag("lsn").over(_order())
     return records.select("partition", "lsn", previous.alias("previous_lsn")).where(F.col("lsn") != F.col("previous_lsn") + 1)
 
 
 def timestamp_regressions(records: DataFrame) -> DataFrame:
     """Records earlier than their predecessor; equal timestamps are legal."""
-    previous = F.lag("timestamp_ms").over(ORDER)
+    previous = F.lag("timestamp_ms").over(_order())
     return (records.select("partition", "lsn", "timestamp_ms", previous.alias("previous_ms"))
             .where(F.col("timestamp_ms") < F.col("previous_ms")))
 

@@ -14,7 +14,7 @@ from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceStre
                                     GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual,
                                     WriterCommitMessage)
 
-from .. import schema
+from .. import schema as layout
 from .plseg import Record, SegmentOptions, SegmentReader, encode
 from .store import SegmentRef, Store
 
@@ -158,7 +158,7 @@ class TimelineWriter(DataSourceWriter):
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
         store, refs, pending, current = Store(self.options["path"], self.options["stream"]), {}, [], None
-        most, codec = int(self.options.get("maxRecords", schema.ROLL_RECORDS)), int(self.options.get("codec", schema.CODEC_ZSTD))
+        most, codec = int(self.options.get("maxRecords", layout.ROLL_RECORDS)), int(self.options.get("codec", layout.CODEC_ZSTD))
 
         def flush():
             if pending:
@@ -178,7 +178,7 @@ class TimelineWriter(DataSourceWriter):
         import os
 
         uid, epoch, base = uuid.uuid4().hex, self.sessions[partition].writer_epoch, records[0].lsn
-        data = encode(records, SegmentOptions(partition, base, bytes.fromhex(uid), codec=codec, algo=schema.HASH_XXH64))
+        data = encode(records, SegmentOptions(partition, base, bytes.fromhex(uid), codec=codec, algo=layout.HASH_XXH64))
         path = store.segment_path(partition, base, epoch, uid)
         os.makedirs(os.path.dirname(path), exist_ok=True)
         with open(path, "xb") as f:
@@ -203,16 +203,16 @@ class TimelineSource(DataSource):
         return "timeline"
 
     def schema(self):
-        return schema.RECORDS
+        return layout.RECORDS
 
-    def reader(self, _schema) -> DataSourceReader:
+    def reader(self, schema) -> DataSourceReader:
         return TimelineReader(self.options)
 
-    def streamReader(self, _schema) -> DataSourceStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:
         return TimelineStreamReader(self.options)
 
-    def writer(self, columns, overwrite: bool) -> DataSourceWriter:
-        return TimelineWriter(self.options, columns)
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return TimelineWriter(self.options, schema)
 
 
 def register(spark) -> None:
