@@ -9,7 +9,6 @@ import json
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import types as T
 from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, Filter,
                                     GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual,
                                     WriterCommitMessage)
@@ -149,8 +148,10 @@ class TimelineWriter(DataSourceWriter):
     leaves files that no head reaches, which is what scrubbing finds.
     """
 
-    def __init__(self, options: dict, columns: T.StructType):
-        self.options, self.names = dict(options), columns.names
+    def __init__(self, options: dict):
+        self.options = {"path": options["path"], "stream": options["stream"]}
+        self.most = int(options.get("maxRecords", layout.ROLL_RECORDS))
+        self.codec = int(options.get("codec", layout.CODEC_ZSTD))
         store = Store(options["path"], options["stream"])
         writer_id = options.get("writerId") or uuid.uuid4().hex
         targets = [int(p) for p in options["partitions"].split(",")]
@@ -158,15 +159,14 @@ class TimelineWriter(DataSourceWriter):
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
         store, refs, pending, current = Store(self.options["path"], self.options["stream"]), {}, [], None
-        most, codec = int(self.options.get("maxRecords", layout.ROLL_RECORDS)), int(self.options.get("codec", layout.CODEC_ZSTD))
 
         def flush():
             if pending:
-                refs.setdefault(current, []).append(self._segment(store, current, pending, codec))
+                refs.setdefault(current, []).append(self._segment(store, current, pending, self.codec))
                 pending.clear()
 
         for row in rows:
-            if row["partition"] != current or len(pending) >= most:
+            if row["partition"] != current or len(pending) >= self.most:
                 flush()
                 current = row["partition"]
             headers = tuple((bytes(h["key"]), bytes(h["value"] or b"")) for h in row["headers"] or ())
@@ -212,7 +212,7 @@ class TimelineSource(DataSource):
         return TimelineStreamReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return TimelineWriter(self.options, schema)
+        return TimelineWriter(self.options)
 
 
 def register(spark) -> None:
