@@ -30,7 +30,7 @@ ANY_BASE = "|".join(f"(?:{p})" for _, p, _, _ in PATTERNS)
 KIND_ORDER = {"assign": 0, "access": 1, "hex": 2, "random": 3}
 SAMPLE_DOCS = 4000
 MIN_TOKEN = 20
-MIN_MEAN = 1.0
+MIN_MEAN = 0.5
 BACKOFF = 5.0
 SPAN = "struct<kind:int,start:int,end:int>"
 
