@@ -54,12 +54,13 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 def as_events(conversations: DataFrame) -> DataFrame:
     """A conversation table as a log: each row is a started message with one delta.
 
-    Sequence numbers need no global order: they are made of the turn, the row's place among
-    equal turns being decided by role and text in the sort of ``fold``.
+    The turn is the sequence number; equal turns are told apart by a number for each row, so
+    that rows which repeat stay two messages.
     """
     both = F.explode(F.array(F.lit("start"), F.lit("delta"))).alias("kind")
-    return conversations.select("conv_id", F.col("turn").alias("seq"), F.col("turn").alias("message"),
-                                F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), both)
+    rows = conversations.select("conv_id", F.col("turn").alias("seq"), F.monotonically_increasing_id().alias("message"),
+                                F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.select("*", both)
 
 
 class Folder:
