@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, packing, secrets, toxicity
+from . import ann, chat, langid, mixing, neardup, packing, secrets, toxicity
 from .common import table
 
 ORACLES: dict[str, str] = {}
@@ -21,6 +21,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.documents_mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -51,4 +60,4 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {"op3_packing": op3_packing, "op5_chat": op5_chat, "op6_langid": op6_langid, "op9_toxicity": op9_toxicity, "op7_secrets": op7_secrets, "op10_mixing": op10_mixing}
+QUERIES = {"op1_neardup": op1_neardup, "op8_ann": op8_ann, "op3_packing": op3_packing, "op5_chat": op5_chat, "op6_langid": op6_langid, "op9_toxicity": op9_toxicity, "op7_secrets": op7_secrets, "op10_mixing": op10_mixing}
