@@ -59,7 +59,7 @@ def bucket_of(doc_id: int, n: int) -> int:
 
 def partitions_for(spark: SparkSession, df: DataFrame, bytes_each: int = 16 << 20) -> int:
     """A partition count in proportion to the size the optimizer sees, and no fewer than configured."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return int(min(max(size // bytes_each, int(spark.conf.get("spark.sql.shuffle.partitions"))), 100_000))
 
 
@@ -104,17 +104,24 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     vertex, every edge list stays linear in the input, and the rounds grow with the logarithm
     of the longest path. No component is ever gathered in one place.
     """
+    def settled(df: DataFrame):
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
     edges = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    mark = settled(edges)
     for _ in range(max_rounds):
+        if not mark[0]:
+            break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(floor, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(floor.select("u", F.col("m").alias("v"))).distinct())
-        following = materialise(small, "links")
-        changed = (following.exceptAll(edges).limit(1).count() or edges.exceptAll(following).limit(1).count())
-        edges = following
-        if not changed:
-            return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
-    raise RuntimeError("components did not settle")
+        edges = materialise(small, "links")
+        before, mark = mark, settled(edges)
+        if mark == before:
+            break
+    else:
+        raise RuntimeError("components did not settle")
+    return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
