@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import langid, mixing, packing, secrets
+from tidemark.llm import jaccard, langid, mixing, packing, secrets
 from tidemark.llm.common import materialise, table
 from tidemark.llm.entry import tokenizer_path
 
@@ -15,6 +15,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return langid.classify(docs.select(COLUMNS), model, "_").where("_accepted").select(COLUMNS)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each group of similar documents the row with the smallest id."""
+    groups = jaccard.components(docs.select("doc_id", "text"))
+    kept = groups.where("doc_id <=> component_id").select("doc_id").distinct()
+    return docs.select(COLUMNS).join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+
+
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every finding by a mark; no document goes."""
     return secrets.redact(docs.select(COLUMNS), secrets.train(docs))
@@ -30,7 +37,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack_documents(docs, tokenizer_path())
 
 
-STAGES = [("language_id", identify_language), ("secret_scans", redact_secrets), ("mixing", mix_sources), ("packing", pack_sequences)]
+STAGES = [("language_id", identify_language), ("ngram_jaccard", drop_near_duplicates), ("secret_scans", redact_secrets), ("mixing", mix_sources), ("packing", pack_sequences)]
 
 #: Training a model and tokenising can't be written in SQL.
 ORACLE_SQL = None

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, jaccard, langid, mixing, neardup, packing, secrets, toxicity
+from . import ann, chat, jaccard, langid, mixing, neardup, packing, secrets, substrings, toxicity
 from .common import table
 
 ORACLES: dict[str, str] = {}
@@ -40,6 +40,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"))
 
@@ -64,4 +68,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {"op4_jaccard": op4_jaccard, "op1_neardup": op1_neardup, "op8_ann": op8_ann, "op3_packing": op3_packing, "op5_chat": op5_chat, "op6_langid": op6_langid, "op9_toxicity": op9_toxicity, "op7_secrets": op7_secrets, "op10_mixing": op10_mixing}
+QUERIES = {f.__name__: f for f in (op1_neardup, op2_substrings, op3_packing, op4_jaccard, op5_chat, op6_langid, op7_secrets, op8_ann,
+                                   op9_toxicity, op10_mixing)}
