@@ -25,7 +25,8 @@ from .common import materialise
 
 CAPACITY = 2048
 RANK_ROWS = 50_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+MARK = "\x01"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -42,25 +43,29 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids  # a lone control character is one id
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def encode(self, text: str) -> list[int]:
-        if "<|" in text and any(s in text for s in self.special):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        out, cache = [], self.cache
-        for line in text.split("\n"):
-            chunks = line.split(" ")
-            new = {c for c in chunks if c not in cache}
-            if new:
-                if len(cache) + len(new) > CACHE_WORDS:
-                    cache.clear()
-                    new = set(chunks)
-                new = list(new)
-                for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                    cache[c] = e.ids
-            for c in chunks:
-                out += cache[c]
-        return out
+    def _learn(self, chunks: list[str]) -> None:
+        """Encode new chunks in one go, a mark between each two."""
+        ids = np.array(self.tokenizer.encode(f" {MARK} ".join(chunks), add_special_tokens=False).ids, "<u4")
+        cuts = [-1, *np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)]
+        for chunk, a, b in zip(chunks, cuts, cuts[1:]):
+            self.cache[chunk] = ids[a + 1 : b].tobytes()
+
+    def encode(self, text: str) -> np.ndarray:
+        if MARK in text or len(self.mark) != 1 or "<|" in text and any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        cache, chunks = self.cache, text.replace("\n", " ").split(" ")
+        try:
+            return np.frombuffer(b"".join(map(cache.__getitem__, chunks)), "<u4")
+        except KeyError:
+            new = [c for c in set(chunks) if c not in cache]
+        if len(cache) + len(new) > CACHE_WORDS:
+            cache.clear()
+            new = list(set(chunks))
+        self._learn(new)
+        return np.frombuffer(b"".join(map(cache.__getitem__, chunks)), "<u4")
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -71,7 +76,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
         for pdf in batches:
             rows = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                ids = np.array(tokens.encode(text or "") + [end_id], "<u4")
+                ids = np.append(tokens.encode(text or ""), np.array([end_id], "<u4"))
                 for i, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
                     rows.append((doc_id, i, at, len(part), zlib.crc32(part.tobytes())))
