@@ -5,6 +5,7 @@ import random
 import numpy as np
 
 from tidemark.llm import toxicity
+from tidemark.llm.common import bucket_of
 
 
 def test_learns_the_words_that_matter(spark):
@@ -24,7 +25,7 @@ def test_learns_the_words_that_matter(spark):
     assert 0 < np.count_nonzero(weights) < 2000
     got = [(r["doc_id"], r["score"]) for r in toxicity.score(docs, weights).collect()]
     assert len(got) == len(rows) and all(0 <= s <= 1 for _, s in got)
-    right = [(s >= 0.5) == (i % 3 == 0) for i, s in got if i is not None and i < 1200 and toxicity.bucket_of(i, 5) == 0] if hasattr(toxicity, "bucket_of") else [(s >= 0.5) == (i % 3 == 0) for i, s in got if i is not None and i < 1200]
+    right = [(s >= 0.5) == (i % 3 == 0) for i, s in got if i is not None and i < 1200 and bucket_of(i, 5) == 0]
     assert sum(right) / len(right) > 0.98
     assert toxicity.score(docs.limit(0), weights).count() == 0
     none = toxicity.train(docs, known.where("toxic = 1"))
