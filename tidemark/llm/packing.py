@@ -15,6 +15,7 @@ pieces of one document may land in different sequences; an empty table gives an
 import bisect
 import os
 import zlib
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -48,31 +49,38 @@ class Tokens:
 
     def _learn(self, chunks: list[str]) -> None:
         """Encode new chunks in one go, a mark between each two."""
-        ids = np.array(self.tokenizer.encode(f" {MARK} ".join(chunks), add_special_tokens=False).ids, "<u4")
-        cuts = [-1, *np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)]
+        found = self.tokenizer.encode_batch_fast([f" {MARK} ".join(chunks)], add_special_tokens=False)[0]
+        ids = np.array(found.ids, "<u4")
+        cuts, data = [-1, *np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)], ids.tobytes()
         for chunk, a, b in zip(chunks, cuts, cuts[1:]):
-            self.cache[chunk] = ids[a + 1 : b].tobytes()
+            self.cache[chunk] = data[4 * a + 4 : 4 * b]
 
     def encode(self, text: str) -> np.ndarray:
         if MARK in text or len(self.mark) != 1 or "<|" in text and any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        cache, chunks = self.cache, text.replace("\n", " ").split(" ")
+        known, chunks = self.cache, text.replace("\n", " ").split(" ")
         try:
-            return np.frombuffer(b"".join(map(cache.__getitem__, chunks)), "<u4")
+            return np.frombuffer(b"".join(map(known.__getitem__, chunks)), "<u4")
         except KeyError:
-            new = [c for c in set(chunks) if c not in cache]
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
+            new = [c for c in set(chunks) if c not in known]
+        if len(known) + len(new) > CACHE_WORDS:
+            known.clear()
             new = list(set(chunks))
         self._learn(new)
-        return np.frombuffer(b"".join(map(cache.__getitem__, chunks)), "<u4")
+        return np.frombuffer(b"".join(map(known.__getitem__, chunks)), "<u4")
+
+
+@cache
+def _tokens(path: str) -> Tokens:
+    """One a worker process: its cache outlives a task. Holds ids of at most CACHE_WORDS chunks."""
+    return Tokens(path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """One row per piece; only documents over the capacity are cut."""
 
     def run(batches):
-        tokens = Tokens(tokenizer_path)
+        tokens = _tokens(tokenizer_path)
         for pdf in batches:
             rows = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
