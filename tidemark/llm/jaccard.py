@@ -21,7 +21,8 @@ join equal or adjacent bands, and scheme b serves bands b and b + 1.
 Keys travel in packed blobs of 48 bits each; a collision costs a comparison, never a result.
 Candidates are verified on the full sets. Equal sets collapse first, then stars on the smallest
 owner of a key connect large groups with one comparison a member; what stays unresolved is
-compared with every other owner of its keys.
+compared with every other owner of its keys, by parity bitmaps first: their Hamming distance is
+at most the number of elements in which two sets differ, so they rule out pairs but no link.
 
 Defined cases: null texts and texts without words have an empty set and link with nothing; a
 text of fewer words than a shingle has one element; rows of one doc_id are one document whose
@@ -41,6 +42,8 @@ WORDS = 5
 SMALL = 128
 PARTS = 64
 STAR_ROUNDS = 1
+MAP_BITS = 2048
+BLOCK = 2048
 
 
 def _bounds() -> list[int]:
@@ -237,6 +240,77 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
+def bitmap(tokens: np.ndarray, b: int) -> bytes:
+    """Parity of the number of elements in each of a power of two of buckets, for scheme b."""
+    bits = min(max(1 << (4 * BOUNDS[b + 1] - 1).bit_length(), 64), MAP_BITS)
+    odd = np.bincount((mix(tokens) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _near(pdf: pd.DataFrame) -> np.ndarray:
+    """Pairs (prober, other) of one group of owners that their bitmaps do not rule out."""
+    ids, part, n, mine = (pdf[c].to_numpy() for c in ("doc_id", "part", "n", "mine"))
+    maps = np.frombuffer(b"".join(pdf["map"]), np.uint64).reshape(len(pdf), -1)
+    within = pdf["b1"].iat[0] == pdf["b2"].iat[0]
+    probers, out = np.flatnonzero(pdf["probe"].to_numpy()), []
+    step = max(1, (1 << 20) // maps.size)
+    for at in range(0, len(probers), step):
+        i = probers[at : at + step, None]
+        fits = part[i] > part
+        if not within:
+            fits &= mine[i] != mine
+        if not fits.any():
+            continue
+        least = np.bitwise_count(maps[i[:, 0], None] ^ maps).sum(axis=2, dtype=np.int64)
+        x, y = np.nonzero(fits & (9 * least <= n[i] + n))
+        out.append(np.stack([ids[i[x, 0]], ids[y]], 1))
+    return np.concatenate(out) if out else np.empty((0, 2), np.int64)
+
+
+def _candidates(open_keys: DataFrame, probes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different parts that share a probed key and that bitmaps do not rule out.
+
+    One side's probes are enough for a pair, so the side with the larger part probes. Owners of
+    a key are compared inside their group, which is split into blocks of ``BLOCK`` rows, every
+    two of which are one group; only what passes leaves it.
+    """
+
+    def sketch(batches):
+        for pdf in batches:
+            rows = []
+            for doc_id, blob in zip(pdf["doc_id"], pdf["tokens"]):
+                tokens = np.frombuffer(blob, "<u8")
+                rows += [(doc_id, role, len(tokens), bitmap(tokens, b)) for role, (b, _) in enumerate(roles(len(tokens)))]
+            yield pd.DataFrame(rows, columns=["doc_id", "role", "n", "map"]).astype({"role": "int32"})
+
+    group = ["key", "width", "b1", "b2"]
+
+    def compare(batches):
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            at = pdf[group].to_numpy()
+            cuts = np.r_[0, np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1]
+            held = pdf.iloc[cuts[-1] :]
+            found = [_near(pdf.iloc[x:y]) for x, y in zip(cuts, cuts[1:])]
+            if found:
+                yield pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
+        if held is not None and len(held):
+            yield pd.DataFrame(_near(held), columns=["a", "b"])
+
+    maps = sets.select("doc_id", "tokens").mapInPandas(sketch, "doc_id long, role int, n long, map binary")
+    asked = probes.select("key", F.col("a").alias("doc_id"), F.lit(True).alias("probe")).distinct()
+    owners = open_keys.join(asked.select("key").distinct(), "key", "left_semi").select("key", "doc_id", "role", "part").distinct()
+    owners = owners.join(asked, ["key", "doc_id"], "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
+    sizes = owners.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    spread = owners.join(sizes, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    spread = spread.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.withColumn("b1", F.least("mine", "with")).withColumn("b2", F.greatest("mine", "with"))
+    mapped = spread.join(maps, ["doc_id", "role"]).withColumn("width", F.length("map")).select(*group, "mine", "doc_id", "part", "probe", "n", "map")
+    dealt = mapped.repartition(*group).sortWithinPartitions(*group)
+    return dealt.mapInPandas(compare, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _links(sets: DataFrame) -> DataFrame:
     """Links that connect what is similar among distinct sets: not every link, but every component."""
 
@@ -273,18 +347,12 @@ def _links(sets: DataFrame) -> DataFrame:
         probes = materialise(open_keys.join(probes, ["doc_id", "role", "seg"], "left_semi").select("key", F.col("doc_id").alias("a"), F.col("part").alias("pa")), "probes")
         if not probes.limit(1).count():
             break
-        others = open_keys.select("key", "doc_id", "part")
-        if step < STAR_ROUNDS:
-            others = others.groupBy("key", "part").agg(F.min("doc_id").alias("doc_id"))
-            low = Window.partitionBy("key")
-            others = others.withColumn("_low", F.min("part").over(low)).where("part = _low").drop("_low")
+        if step == STAR_ROUNDS:
+            return links.union(materialise(_verify(_candidates(open_keys, probes, sets), sets), "found"))
+        low = Window.partitionBy("key")
+        others = open_keys.groupBy("key", "part").agg(F.min("doc_id").alias("doc_id")).withColumn("_low", F.min("part").over(low)).where("part = _low")
         pairs = (probes.join(others, "key").where("pa <> part").select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct())
-        more = materialise(_verify(pairs, sets), "found")
-        if step < STAR_ROUNDS:
-            links = links.union(more)
-            continue
-        links = links.union(more)
-        break
+        links = links.union(materialise(_verify(pairs, sets), "found"))
     return links
 
 
