@@ -4,15 +4,18 @@
 2. On a bounded sample a rotation is learnt that balances and best preserves sign codes
    (alternating sign codes and an orthogonal Procrustes step); ``ROTATIONS`` of them from
    different starts give one code each.
-3. Every code is cut into substrings of ``bits`` bits, growing with the logarithm of the table;
-   rows that agree on a substring meet in that table's bucket.
+3. The codes, one after the other, are cut into substrings of ``bits`` bits, growing with the
+   logarithm of the table; rows that agree on a substring meet in that table's bucket. There are
+   as many substrings as keep the chance of a miss under ``MISS``; where the learnt codes are too
+   short for that, random directions lengthen them.
 4. A bucket is reranked with the original vectors in double precision. A pair counts in the
    first table that brings it together, so counts add up; what leaves a bucket is a sum for
    each vector and a spanning forest, never the pairs. Buckets over ``BLOCK`` rows are split
    into blocks, every two of which are one group.
 
-Two vectors at cosine 0.9 differ in a bit with probability 0.144: with 8-bit substrings and 24
-tables a pair is missed about once in 3,000, and less often above. Found pairs are exact.
+Two vectors at cosine 0.9 differ in a bit with probability 0.144: 24 tables of 8-bit substrings,
+56 of 13 bits or 92 of 16 bits miss a pair about once in 3,000, and less often above. Found pairs
+are exact.
 
 Defined cases: null, empty, zero and non-finite vectors and null ids link with nothing;
 vectors of different dimension never link; rows that repeat are links of each other; an empty
@@ -35,6 +38,8 @@ CODE_BITS = 64
 SAMPLE_ROWS = 8_000
 BLOCK = 2048
 STEPS = 30
+MISS = 1 / 3000
+ENTRIES = 1 << 18
 
 
 def learn(x: np.ndarray, seed: int) -> np.ndarray:
@@ -51,38 +56,53 @@ def learn(x: np.ndarray, seed: int) -> np.ndarray:
     return axes.T @ r
 
 
-def substrings(x: np.ndarray, projections: list[np.ndarray], bits: int) -> np.ndarray:
-    """One column per table: the substring of its code."""
-    out = []
-    for p in projections:
-        signs = (x @ p >= 0).astype(np.int64)
-        for at in range(0, max(signs.shape[1] - bits, 0) + 1, bits):
-            part = signs[:, at : at + bits]
-            out.append(part @ (1 << np.arange(part.shape[1], dtype=np.int64)))
-    return np.stack(out, 1)
+def tables_for(bits: int, threshold: float) -> int:
+    """How many tables keep the chance that a pair at the threshold shares no bucket under MISS."""
+    agree = min((1 - math.acos(min(max(threshold, 0.0), 1.0)) / math.pi) ** bits, 0.999)
+    return math.ceil(math.log(MISS) / math.log1p(-agree))
+
+
+def directions(x: np.ndarray, length: int) -> np.ndarray:
+    """The projections of a code of ``length`` bits: learnt ones first, then random ones."""
+    out = [learn(x, seed) for seed in range(ROTATIONS)]
+    more = max(length - sum(p.shape[1] for p in out), 0)
+    out.append(np.random.default_rng(ROTATIONS).standard_normal((x.shape[1], more)))
+    return np.concatenate(out, 1)[:, :length]
+
+
+def substrings(x: np.ndarray, projection: np.ndarray, bits: int) -> np.ndarray:
+    """One column per table: the substring of the code."""
+    signs = (x @ projection >= 0).reshape(len(x), -1, bits)
+    return signs @ (1 << np.arange(bits, dtype=np.int64))
 
 
 def links(classes: DataFrame, rows: int, threshold: float) -> DataFrame:
     """``classes``: rep, n, embedding, dim. Returns (rep, links, other): partial sums of linked
     vectors, and forest edges to ``other``, which is null on rows that only count."""
     spark = classes.sparkSession
+    bits = int(min(max(math.log2(max(rows, 2)) - 7, 8), 16))
+    length = bits * tables_for(bits, threshold)
     models = {}
     for dim in sorted(r["dim"] for r in classes.select("dim").distinct().collect()):
         x = unit(matrix(sample(classes.where(F.col("dim") == dim), SAMPLE_ROWS, "rep").toPandas()["embedding"]))
-        models[dim] = [learn(x, seed) for seed in range(ROTATIONS)]
-    bits = int(min(max(math.log2(max(rows, 2)) - 7, 8), 16))
+        models[dim] = directions(x, length)
     shared = spark.sparkContext.broadcast(models)
 
     def keyed(batches):
         for pdf in batches:
             for dim, part in pdf.groupby("dim"):
-                x = matrix(part["embedding"])
-                keys = substrings(unit(x), shared.value[dim], bits)
-                tables = keys.shape[1]
-                yield pd.DataFrame({
-                    "dim": dim, "tab": np.tile(np.arange(tables), len(part)), "key": keys.ravel(), "rep": np.repeat(part["rep"].to_numpy(), tables),
-                    "n": np.repeat(part["n"].to_numpy(), tables), "code": np.repeat(np.array([k.tobytes() for k in keys.astype(np.int32)], object), tables),
-                    "vec": np.repeat(np.array([v.tobytes() for v in x], object), tables)})
+                step = max(ENTRIES * bits // length, 1)
+                for at in range(0, len(part), step):
+                    yield keys_of(dim, part[at : at + step])
+
+    def keys_of(dim, part):
+        x = matrix(part["embedding"])
+        keys = substrings(unit(x), shared.value[dim], bits)
+        tables = keys.shape[1]
+        return pd.DataFrame({
+            "dim": dim, "tab": np.tile(np.arange(tables), len(part)), "key": keys.ravel(), "rep": np.repeat(part["rep"].to_numpy(), tables),
+            "n": np.repeat(part["n"].to_numpy(), tables), "code": np.repeat(np.array([k.tobytes() for k in keys.astype(np.uint16)], object), tables),
+            "vec": np.repeat(np.array([v.tobytes() for v in x], object), tables)})
 
     entries = classes.mapInPandas(keyed, "dim int, tab long, key long, rep long, n long, code binary, vec binary")
     bucket = ["dim", "tab", "key"]
@@ -95,7 +115,7 @@ def links(classes: DataFrame, rows: int, threshold: float) -> DataFrame:
         same = pdf["b1"].iat[0] == pdf["b2"].iat[0]
         table, reps, n = int(pdf["tab"].iat[0]), pdf["rep"].to_numpy(), pdf["n"].to_numpy()
         x = unit(np.frombuffer(b"".join(pdf["vec"]), np.float64).reshape(len(pdf), -1))
-        codes = np.frombuffer(b"".join(pdf["code"]), np.int32).reshape(len(pdf), -1)
+        codes = np.frombuffer(b"".join(pdf["code"]), np.uint16).reshape(len(pdf), -1)
         left = np.flatnonzero(pdf["mine"].to_numpy() == pdf["b1"].to_numpy())
         right = left if same else np.flatnonzero(pdf["mine"].to_numpy() == pdf["b2"].to_numpy())
         counts, label = np.zeros(len(pdf), np.int64), np.arange(len(pdf))
