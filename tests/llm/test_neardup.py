@@ -28,3 +28,18 @@ def test_longer_substrings_miss_no_more_pairs(bits, dim):
 def test_table_count():
     assert [neardup.tables_for(bits, 0.9) for bits in (8, 11, 13, 16)] == [24, 40, 56, 92]
     assert neardup.tables_for(8, 1.0) >= 1
+
+
+def test_few_distinct_vectors_are_compared_whole(spark):
+    """Each table holds pairs just above the threshold, some vectors many times; rare dimensions lie beside the main one."""
+    rows, want = [], {}
+    for dim, n in ((64, 5), (65, 10), (66, 15), (67, 100), (5, 3), (2, 1)):
+        for a, b in zip(*close_pairs(n, dim)):
+            at = len(rows)
+            rows += [(at, a.tolist()), (at + 1, b.tolist()), (at + 2, a.tolist())]
+        x = unit(np.array([v for _, v in rows if len(v) == dim]))
+        first = len(rows) - len(x)
+        want |= {first + i: int(k) - 1 for i, k in enumerate((x @ x.T >= 0.9).sum(1))}
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in neardup.near_duplicates(frame).collect()}
+    assert got == want
