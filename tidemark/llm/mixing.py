@@ -1,11 +1,12 @@
-"""Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
+"""Mixing sources to target weights by Sainte-Laguë apportionment, in equal-token blocks.
 
 1. Every source gets a target: its weight's share of all words, capped at ``max_repeats``
    times its own size, the excess shared again by weight until no target is above its cap.
-2. Equal blocks of ``block`` words are given out by highest quotients, first to sources, then
-   inside a source to its shards (hash shards of bounded size, so a hot source is many).
-3. A shard's quota is taken as whole passes over the shard plus blocks chosen by a seeded
-   permutation of the block numbers, which needs no sort and no shared state.
+2. Words are given out by highest quotients, first to sources, then inside a source to its
+   shards (hash shards of bounded size, so a hot source is many). No unit grows with the corpus.
+3. A shard is cut into equal blocks, ``BLOCKS`` or so. Its quota is taken as whole passes over
+   the shard plus blocks chosen by a seeded permutation of the block numbers, which needs no
+   sort and no shared state; the last block chosen is cut, so that the quota is met to the word.
 
 Defined cases: a null text has size 0; null sources are one source, last in order; rows that
 repeat count each time; an empty table gives an empty result; extra columns pass through.
@@ -24,7 +25,7 @@ from .common import WORD, materialise
 
 MAX_SOURCES = 1_000_000
 SHARD_ROWS = 20_000
-BLOCKS = 1 << 20
+BLOCKS = 1 << 14
 
 
 def size_in_words(text: Column) -> Column:
@@ -85,6 +86,19 @@ def _stride(n: int, seed: int) -> int:
     return a
 
 
+def _partial(rest: int, size: int, block: int, last: int) -> tuple[int, int]:
+    """How many blocks in the order of the permutation, and how many words of the next one, make
+    ``rest`` words, fewer than ``size``. The block at place ``last`` may be shorter than others."""
+    if not rest:
+        return 0, 0
+    short = -size % block
+    full = rest // block
+    left = rest - full * block + (short if last < full else 0)
+    while left >= (width := block - (short if last == full else 0)):
+        full, left = full + 1, left - width
+    return full, left
+
+
 def mix(sized: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_repeats: int = 3, seed: int = 1, blocks: int = BLOCKS) -> DataFrame:
     """``sized``: doc_id, source, size and any other columns. Adds source_size, target, passes
     (whole copies), picked (ranges of words, [from, to) of one more partial copy) and taken."""
@@ -94,39 +108,45 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_repeats: i
         raise ValueError("too many sources for one mix")
     goal = targets([(r["source"], r["size"]) for r in totals], weights, max_repeats)
     everything = sum(r["size"] for r in totals)
-    block = max(1, everything // blocks)
-    quota = sainte_lague([goal[r["source"]] for r in totals], everything // block, [max_repeats * r["size"] // block for r in totals])
+    quota = sainte_lague([goal[r["source"]] for r in totals], everything, [max_repeats * r["size"] for r in totals])
     plan = spark.createDataFrame(
         [(r["source"], int(r["size"]), float(goal[r["source"]]), int(q), max(1, -(-r["n"] // SHARD_ROWS))) for r, q in zip(totals, quota)],
-        "source string, source_size long, target double, source_blocks long, shards long")
+        "source string, source_size long, target double, source_words long, shards long")
     planned = sized.alias("d").join(F.broadcast(plan.alias("p")), F.col("d.source").eqNullSafe(F.col("p.source"))).drop(F.col("p.source"))
     planned = planned.withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), "shards"))
 
     def allot(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_shard")
         sizes = [int(x) for x in pdf["shard_size"]]
-        pdf["quota"] = [g * block for g in sainte_lague([float(x) for x in sizes], int(pdf["source_blocks"].iloc[0]), [max_repeats * x // block for x in sizes])]
-        count = [max(1, -(-x // block)) for x in sizes]
-        pdf["n_blocks"], pdf["stride"] = count, [_stride(n, seed + s) for n, s in zip(count, pdf["_shard"].tolist())]
-        return pdf.drop(columns="source_blocks")
-
-    shards = planned.groupBy("source", "_shard", "source_blocks").agg(F.sum("size").alias("shard_size"))
-    shards = shards.groupBy("source").applyInPandas(allot, "source string, _shard long, shard_size long, quota long, n_blocks long, stride long")
+        quotas = sainte_lague([float(x) for x in sizes], int(pdf["source_words"].iloc[0]), [max_repeats * x for x in sizes])
+        rows = []
+        for shard, size, quota in zip(pdf["_shard"].tolist(), sizes, quotas):
+            passes, rest = divmod(quota, size) if size else (0, 0)
+            block = max(1, size // blocks)
+            n = max(1, -(-size // block))
+            stride = _stride(n, seed + shard)
+            rows.append((passes, block, n, stride, *_partial(rest, size, block, ((n - 1) * stride + seed) % n)))
+        pdf[["passes", "block", "n_blocks", "stride", "full", "more"]] = rows
+        return pdf.drop(columns=["source_words", "shard_size"])
+
+    shards = planned.groupBy("source", "_shard", "source_words").agg(F.sum("size").alias("shard_size"))
+    shards = shards.groupBy("source").applyInPandas(allot, "source string, _shard long, passes long, block long, n_blocks long, stride long, full long, more long")
     before = Window.partitionBy("source", "_shard").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = planned.withColumn("_start", F.coalesce(F.sum("size").over(before), F.lit(0)))
     joined = placed.alias("d").join(shards.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d._shard") == F.col("s._shard")))
-    joined = joined.drop(F.col("s.source"), F.col("s._shard"), "source_blocks", "shards")
-    whole = F.when(F.col("shard_size") > 0, F.floor(F.col("quota") / F.col("shard_size"))).otherwise(F.lit(0)).cast("long")
-    joined = joined.withColumn("passes", whole).withColumn("_chosen", F.ceil((F.col("quota") - F.col("passes") * F.col("shard_size")) / block))
-    first, last = F.floor(F.col("_start") / block), F.floor((F.col("_start") + F.col("size") - 1) / block)
-    touched = F.when((F.col("size") > 0) & (F.col("_chosen") > 0), F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
-    chosen = F.filter(touched, lambda j: F.pmod(j * F.col("stride") + F.lit(seed), F.col("n_blocks")) < F.col("_chosen"))
-    picked = F.transform(chosen, lambda j: F.struct(
-        F.greatest(j * block - F.col("_start"), F.lit(0)).cast("long").alias("from"), F.least((j + 1) * block - F.col("_start"), F.col("size")).cast("long").alias("to")))
+    joined = joined.drop(F.col("s.source"), F.col("s._shard"), "source_words", "shards")
+    block, start, place = F.col("block"), F.col("_start"), lambda j: F.pmod(j * F.col("stride") + F.lit(seed), F.col("n_blocks"))
+    first, last = F.floor(start / block), F.floor((start + F.col("size") - 1) / block)
+    touched = F.when((F.col("size") > 0) & (F.col("full") + F.col("more") > 0), F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    chosen = F.filter(touched, lambda j: place(j) <= F.col("full"))
+    ranges = F.transform(chosen, lambda j: F.struct(
+        F.greatest(j * block - start, F.lit(0)).cast("long").alias("from"),
+        F.least(j * block + F.when(place(j) < F.col("full"), block).otherwise(F.col("more")) - start, F.col("size")).cast("long").alias("to")))
+    picked = F.filter(ranges, lambda r: r["from"] < r["to"])
     joined = joined.withColumn("picked", picked)
     part = F.aggregate("picked", F.lit(0).cast("long"), lambda acc, r: acc + r["to"] - r["from"])
     joined = joined.withColumn("taken", (F.col("passes") * F.col("size") + part).cast("long"))
-    return joined.drop("_shard", "_start", "_chosen", "shard_size", "quota", "n_blocks", "stride")
+    return joined.drop("_shard", "_start", "block", "n_blocks", "stride", "full", "more")
 
 
 def documents_mixed(docs: DataFrame) -> DataFrame:
