@@ -2,8 +2,11 @@
 
 A log row is (conv_id, seq, message, kind, role, text). ``start`` opens a message, ``delta``
 appends to it, ``edit`` replaces its text, ``regenerate`` empties it for new deltas, ``delete``
-drops it. The log is partitioned by conversation and sorted by sequence; one pass folds it and
-holds only the message in progress, because the events of a message follow each other.
+drops it. Events act on the message of their number, wherever it stands in the log: the last one
+started under it before them. Where there is none, or the number is null, they act on the message
+started last. The log is partitioned by conversation, window functions find each event's start,
+and sorted by start and sequence one pass folds it and holds only one message. Final messages
+stand in the order of their starts.
 
 Rendering: ``<|im_start|>role\\ntext<|im_end|>\\n``, where every ``<|`` inside a role or text is
 written ``<|\\``, which ``unescape`` reverses exactly, and a newline inside a role ``<|n``. The
@@ -18,7 +21,7 @@ import hashlib
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -64,7 +67,7 @@ def as_events(conversations: DataFrame) -> DataFrame:
 
 
 class Folder:
-    """Folds the events of one conversation after another into final messages."""
+    """Folds the events of one message after another into final messages."""
 
     def __init__(self):
         self.key, self.turn, self.role, self.parts, self.open = object(), 0, "", [], False
@@ -102,7 +105,11 @@ def fold_and_render(events: DataFrame, order: tuple[str, ...] = ("seq", "role",
     ``order`` with the kind last, ``start`` before all others.
     """
     rank = F.when(F.col("kind") == "start", 0).otherwise(1)
-    placed = events.withColumn("_k", rank).repartition(F.col("conv_id")).sortWithinPartitions("conv_id", *order, "_k")
+    running = lambda *by: Window.partitionBy(*by).orderBy(*order, "_k").rowsBetween(Window.unboundedPreceding, 0)
+    placed = events.withColumn("_k", rank).repartition(F.col("conv_id"))
+    placed = placed.withColumn("_last", F.sum(F.when(F.col("_k") == 0, 1).otherwise(0)).over(running("conv_id")))
+    own = F.last(F.when((F.col("_k") == 0) & F.col("message").isNotNull(), F.col("_last")), ignorenulls=True).over(running("conv_id", "message"))
+    placed = placed.withColumn("_start", F.coalesce(own, "_last")).sortWithinPartitions("conv_id", "_start", *order, "_k")
 
     def run(batches):
         folder = Folder()
