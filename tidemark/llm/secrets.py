@@ -7,8 +7,9 @@ of the rare contexts there, do not hide others. Random strings are learnt from t
 the fixed patterns find, ordinary identifiers from all other long tokens, both in a bounded
 sample of documents (``SAMPLE_DOCS``, the smallest id hashes); pair counts back off to
 single characters with a weight of ``BACKOFF`` observations.
-A token of ``MIN_TOKEN`` or more characters with a digit is a finding when its mean ratio per
-pair is at least ``MIN_MEAN`` nats, and it does not overlap a pattern's span.
+A token of ``MIN_TOKEN`` or more characters is a finding when its mean ratio per pair is at
+least ``MIN_MEAN`` nats, or ``MIN_MEAN_PLAIN`` if it has no digit, and it does not overlap a
+pattern's span.
 
 Defined cases: a null text counts as empty; an empty table gives an empty result; repeated
 rows are scanned each; positions are code points, ends exclusive.
@@ -31,6 +32,7 @@ KIND_ORDER = {"assign": 0, "access": 1, "hex": 2, "random": 3}
 SAMPLE_DOCS = 4000
 MIN_TOKEN = 20
 MIN_MEAN = 0.5
+MIN_MEAN_PLAIN = 1.0
 BACKOFF = 5.0
 SPAN = "struct<kind:int,start:int,end:int>"
 
@@ -101,7 +103,7 @@ def scan(docs: DataFrame, model: list[float]) -> DataFrame:
         begin = acc["at"] + F.length(x["g"])
         end = begin + F.length(x["m"])
         score = F.aggregate(_pairs(x["m"]), F.lit(0.0), lambda s, p: s + F.element_at(ratios, p + 1)) / (F.length(x["m"]) - 1)
-        hit = F.regexp_like(x["m"], F.lit("[0-9]")) & (score >= MIN_MEAN)
+        hit = score >= F.when(F.regexp_like(x["m"], F.lit("[0-9]")), MIN_MEAN).otherwise(MIN_MEAN_PLAIN)
         span = F.struct(F.lit(KIND_ORDER["random"]).alias("kind"), begin.alias("start"), end.alias("end"))
         return F.struct(end.alias("at"), F.when(hit, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
