@@ -311,8 +311,8 @@ def _candidates(open_keys: DataFrame, probes: DataFrame, sets: DataFrame) -> Dat
     return dealt.mapInPandas(compare, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _links(sets: DataFrame) -> DataFrame:
-    """Links that connect what is similar among distinct sets: not every link, but every component."""
+def _entries(sets: DataFrame) -> DataFrame:
+    """The keys of every set, with their role, segment and spare units."""
 
     def emit(batches):
         for pdf in batches:
@@ -326,8 +326,23 @@ def _links(sets: DataFrame) -> DataFrame:
             if out:
                 yield pd.concat(out)
 
-    entries = sets.select("doc_id", "tokens").mapInPandas(emit, "key long, doc_id long, role int, seg int, spare int")
-    entries = materialise(entries, "entries")
+    return sets.select("doc_id", "tokens").mapInPandas(emit, "key long, doc_id long, role int, seg int, spare int")
+
+
+def _probes(open_keys: DataFrame) -> DataFrame:
+    """The keys that each document has to look up: a segment is open if any of its keys is, and
+    the most expensive ones are what the spare units may leave out."""
+    segs = open_keys.groupBy("doc_id", "role", "seg", "spare").agg(F.max("cost").alias("cost"), F.min("key").alias("_k"))
+    units = F.when(F.col("seg") >= 0, 2).otherwise(1)
+    by = Window.partitionBy("doc_id", "role")
+    upto = F.sum(units).over(by.orderBy(F.desc("cost"), "seg").rowsBetween(Window.unboundedPreceding, 0))
+    probes = segs.withColumn("_upto", upto).where(F.col("_upto") > F.greatest("spare", F.lit(0))).select("doc_id", "role", "seg")
+    return materialise(open_keys.join(probes, ["doc_id", "role", "seg"], "left_semi").select("key", F.col("doc_id").alias("a"), F.col("part").alias("pa")), "probes")
+
+
+def _links(sets: DataFrame) -> DataFrame:
+    """Links that connect what is similar among distinct sets: not every link, but every component."""
+    entries = materialise(_entries(sets), "entries")
     common = entries.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     entries = materialise(entries.join(common.select("key", "low"), "key"), "shared")
     first = entries.where("low < doc_id").groupBy("doc_id").agg(F.min("low").alias("b")).select(F.col("doc_id").alias("a"), "b")
@@ -337,14 +352,7 @@ def _links(sets: DataFrame) -> DataFrame:
         owned = entries.drop("low").join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).drop("component")
         mixed = owned.groupBy("key").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.count(F.lit(1)).alias("cost")).where("p0 < p1").select("key", "cost")
         open_keys = materialise(owned.join(mixed, "key"), "open")
-        # a segment is open if any of its keys is; the cheapest open ones are looked at until the spare units cover the rest
-        segs = open_keys.groupBy("doc_id", "role", "seg", "spare").agg(F.max("cost").alias("cost"), F.min("key").alias("_k"))
-        units = F.when(F.col("seg") >= 0, 2).otherwise(1)
-        by = Window.partitionBy("doc_id", "role")
-        # the most expensive ones are what the spare units may leave out
-        upto = F.sum(units).over(by.orderBy(F.desc("cost"), "seg").rowsBetween(Window.unboundedPreceding, 0))
-        probes = segs.withColumn("_upto", upto).where(F.col("_upto") > F.greatest("spare", F.lit(0))).select("doc_id", "role", "seg")
-        probes = materialise(open_keys.join(probes, ["doc_id", "role", "seg"], "left_semi").select("key", F.col("doc_id").alias("a"), F.col("part").alias("pa")), "probes")
+        probes = _probes(open_keys)
         if not probes.limit(1).count():
             break
         if step == STAR_ROUNDS:
@@ -356,8 +364,9 @@ def _links(sets: DataFrame) -> DataFrame:
     return links
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """``docs``: doc_id, text. Returns doc_id, n_shingles, component_id per row."""
+def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A summary of each row, the same with what may have links marked, the classes of equal sets
+    and the sets of the marked ones."""
     parts = max(PARTS, partitions_for(docs.sparkSession, docs.select("doc_id", "text")) // 4)
     seen = _summaries(docs, parts)
     rows = seen.where("kind = 0").select("doc_id", "n", "h1", "h2", "spare0", "spare1")
@@ -374,7 +383,24 @@ def components(docs: DataFrame) -> DataFrame:
 
     alive_ids = classes.where("alive").select(F.col("rep").alias("doc_id")).distinct()
     sets = docs.select("doc_id", "text").join(alive_ids, "doc_id", "left_semi").mapInPandas(tokens, "doc_id long, tokens binary")
-    found = _links(materialise(sets.dropDuplicates(["doc_id", "tokens"]), "sets"))
+    return rows, marked, classes, materialise(sets.dropDuplicates(["doc_id", "tokens"]), "sets")
+
+
+def similar_sets(docs: DataFrame) -> DataFrame:
+    """The join itself: every link (a, b), a < b, between distinct sets, each named by the
+    smallest doc_id that has it. Its size grows with the number of links."""
+    sets = _prepared(docs)[3]
+    entries = materialise(_entries(sets), "entries")
+    shared = entries.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("cost")).where("low < high").select("key", "cost")
+    open_keys = materialise(entries.join(shared, "key").withColumn("part", F.col("doc_id")), "open")
+    return _verify(_candidates(open_keys, _probes(open_keys), sets), sets).distinct()
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """``docs``: doc_id, text. Returns doc_id, n_shingles, component_id per row."""
+    rows, marked, classes, sets = _prepared(docs)
+    sets_of = ["h1", "h2", "n"]
+    found = _links(sets)
     # rows of one id pool their links: their classes are tied through the id
     ties = marked.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", *sets_of).join(classes.select(*sets_of, "rep"), sets_of).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     twice = ties.groupBy("a").agg(F.min("b").alias("b0"), F.max("b").alias("b1")).where("b0 < b1").select(F.col("b0").alias("a"), F.col("b1").alias("b"))
