@@ -4,7 +4,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 import zlib
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -25,9 +27,13 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` as the cluster names it; a folder of our own only where it is unset."""
+    """``spark.checkpoint.dir`` as the cluster names it. Where it is unset, a folder of our own in
+    local mode; on a cluster that is an error, because executors don't share such a folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         named = _own_folder()
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -41,7 +47,31 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[id(out)] = path
+    weakref.finalize(out, _written.pop, id(out), None)
+    return out
+
+
+_written: dict[int, str] = {}
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``materialise`` wrote and that no later step reads."""
+    path = _written.pop(id(df), None)
+    if path is not None:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+
+
+def slices(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in pieces of ``size`` bytes or so, at least a row each: a worker then holds
+    few Python objects at a time."""
+    for batch in batches:
+        step = max(1, int(batch.num_rows * size / max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,10 +148,37 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(floor, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(floor.select("u", F.col("m").alias("v"))).distinct())
-        edges = materialise(small, "links")
+        old, edges = edges, materialise(small, "links")
+        discard(old)
         before, mark = mark, settled(edges)
         if mark == before:
             break
     else:
         raise RuntimeError("components did not settle")
     return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
+
+
+def let(value: Column, f) -> Column:
+    """``f(value)``, with the value computed once however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def scan(items: Column, zero: Column, step, block: int = 32) -> Column:
+    """The outputs of an ordered fold: ``step(state, item)`` gives a struct of the next ``state``
+    and an output ``out``. Outputs gather in blocks, since appending copies what is there. A step
+    is computed up to four times, which is cheaper than copying it; it should be a few operations."""
+    def add(acc, x):
+        r = step(acc["state"], x)
+        return F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out"))
+
+    def whole(z):
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / block).cast("int")), lambda i: F.slice(z, i * block + 1, F.lit(block)))
+        one = F.array(step(zero, F.element_at(z, 1))["out"])  # for its type
+
+        def more(acc, part):
+            inner = F.aggregate(part, F.struct(acc["state"].alias("state"), F.slice(one, 1, 0).alias("out")), add)
+            return F.struct(inner["state"].alias("state"), F.concat(acc["out"], F.array(inner["out"])).alias("out"))
+
+        return F.aggregate(blocks, F.struct(zero.alias("state"), F.slice(F.array(one), 1, 0).alias("out")), more, lambda acc: F.flatten(acc["out"]))
+
+    return F.when(F.size(items) > 0, let(items, whole))
