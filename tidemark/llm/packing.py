@@ -12,86 +12,151 @@ Defined cases: a null or empty text is the end-of-text id alone; repeated rows a
 pieces of one document may land in different sequences; an empty table gives an empty result.
 """
 
+import array
 import bisect
+import itertools
+import json
 import os
+import re
 import zlib
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, slices
 
 CAPACITY = 2048
 RANK_ROWS = 50_000
-CACHE_WORDS = 1_000_000
+CACHE_BYTES = 24 << 20
+ENTRY_BYTES = 150
 MARK = "\x01"
+WORDS_KEPT = 50_000
+#: Beyond these characters, Unicode versions and context could make a difference.
+ODD = re.compile("[^\x20-\x7e\u00a1-\u012f]")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
+def _byte_names() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level BPE: itself if it is
+    printable in Latin-1, else the next one from 256 on."""
+    same = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (chr(c) for c in itertools.count(256))
+    return {b: chr(b) if b in same else next(others) for b in range(256)}
+
+
+BYTE_NAMES = _byte_names()
+
+
 class Tokens:
     """Ids of whole texts, from a cache of the ids of space-separated chunks.
 
     The tokenizer's rules never join across a space or newline, so chunks are independent; a
-    text that holds one of its special tokens is encoded in one go.
+    text that holds one of its special tokens is encoded in one go. The cache has a new and an
+    old half. When the new one has reached ``CACHE_BYTES`` it becomes the old one, from which
+    chunks that are met again move on; the rest is forgotten at the next change.
+
+    Of a tokenizer that lower-cases, splits by one pattern and then applies byte-level BPE, new
+    chunks of plain Latin characters are split here and only their words go to the BPE model;
+    all other chunks go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.tokenizer, self.cache, self.old, self.size = Tokenizer.from_file(path), {}, {}, 0
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids  # a lone control character is one id
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode new chunks in one go, a mark between each two."""
+        self.split, self.words = self._pattern(json.loads(self.tokenizer.to_str())), {}
+
+    @staticmethod
+    def _pattern(made: dict):
+        """What splits a lower-cased text, if that and byte-level BPE is all the tokenizer does."""
+        steps = [n.get("type") for n in (made["normalizer"] or {}).get("normalizers", [])]
+        split = (made["pre_tokenizer"] or {}).get("pretokenizers", [])
+        plain = steps == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in split] == ["Split", "ByteLevel"] and made["model"]["type"] == "BPE"
+        if not plain or split[0]["behavior"] != "Removed" or not split[0]["invert"] or split[1]["use_regex"] or split[1]["add_prefix_space"]:
+            return None
+        import regex
+
+        return regex.compile(split[0]["pattern"]["Regex"]).findall
+
+    def _word(self, word: str) -> bytes:
+        got = self.words.get(word)
+        if got is None:
+            if len(self.words) > WORDS_KEPT:
+                self.words.clear()
+            found = self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(BYTE_NAMES))
+            got = self.words[word] = array.array("I", [t.id for t in found]).tobytes()
+        return got
+
+    def _learn_all(self, chunks: list[str]) -> None:
+        if self.split is not None:
+            for c in chunks:
+                if not ODD.search(c):
+                    self.cache[c] = b"".join(map(self._word, self.split(c.lower())))
+            chunks = [c for c in chunks if c not in self.cache]
+        if chunks:
+            self.cache.update(zip(chunks, self._learn(chunks)))
+
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        """Ids of new chunks, encoded in one go with a mark between each two."""
         found = self.tokenizer.encode_batch_fast([f" {MARK} ".join(chunks)], add_special_tokens=False)[0]
         ids = np.array(found.ids, "<u4")
         cuts, data = [-1, *np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)], ids.tobytes()
-        for chunk, a, b in zip(chunks, cuts, cuts[1:]):
-            self.cache[chunk] = data[4 * a + 4 : 4 * b]
+        return [data[4 * a + 4 : 4 * b] for a, b in zip(cuts, cuts[1:])]
+
+    def _add(self, chunks: list[str]) -> None:
+        if self.size > CACHE_BYTES:
+            self.old, self.cache, self.size = self.cache, {}, 0
+        missing, new, old = {c for c in chunks if c not in self.cache}, [], self.old
+        for c in missing:
+            ids = old.get(c)
+            if ids is None:
+                new.append(c)
+            else:
+                self.cache[c] = ids
+        self._learn_all(new)
+        self.size += sum(ENTRY_BYTES + 2 * len(c) for c in missing)
 
     def encode(self, text: str) -> np.ndarray:
         if MARK in text or len(self.mark) != 1 or "<|" in text and any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        known, chunks = self.cache, text.replace("\n", " ").split(" ")
+        chunks = text.replace("\n", " ").split(" ")
         try:
-            return np.frombuffer(b"".join(map(known.__getitem__, chunks)), "<u4")
+            return np.frombuffer(b"".join(map(self.cache.__getitem__, chunks)), "<u4")
         except KeyError:
-            new = [c for c in set(chunks) if c not in known]
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = list(set(chunks))
-        self._learn(new)
-        return np.frombuffer(b"".join(map(known.__getitem__, chunks)), "<u4")
+            self._add(chunks)
+        return np.frombuffer(b"".join(map(self.cache.__getitem__, chunks)), "<u4")
 
 
 @cache
 def _tokens(path: str) -> Tokens:
-    """One a worker process: its cache outlives a task. Holds ids of at most CACHE_WORDS chunks."""
+    """One a worker process: its cache outlives a task, of 2 * CACHE_BYTES and one text's chunks or so."""
     return Tokens(path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """One row per piece; only documents over the capacity are cut."""
+    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         tokens = _tokens(tokenizer_path)
-        for pdf in batches:
+        for batch in slices(batches):
             rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                ids = np.append(tokens.encode(text or ""), np.array([end_id], "<u4"))
-                for i, at in enumerate(range(0, len(ids), capacity)):
-                    part = ids[at : at + capacity]
-                    rows.append((doc_id, i, at, len(part), zlib.crc32(part.tobytes())))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "Int64", "piece": "int32", "start": "int64", "length": "int64", "ids_crc32": "int64"})
-
-    return docs.select("doc_id", "text").mapInPandas(run, PIECES)
+            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+                data = tokens.encode(text or "").tobytes() + end
+                for i, at in enumerate(range(0, len(data), 4 * capacity)):
+                    part = data[at : at + 4 * capacity]
+                    rows.append((doc_id, i, at // 4, len(part) // 4, zlib.crc32(part)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
+                                             names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
