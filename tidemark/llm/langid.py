@@ -1,38 +1,46 @@
 """Language ID: interpolated Kneser-Ney character models, one per language.
 
-Training takes a bounded sample (``SAMPLE_DOCS`` documents a language, smallest id hashes, whole
-texts). Letters are lower-cased and numbered; everything else is a space. N-grams up to order 4
-are base-``K`` numbers, and each order of each language is a sorted array of them with its
-discounted probabilities and back-off weights, found by binary search. A text goes to the
-language with the lowest cross-entropy per character. Scoring takes each distinct n-gram of an
-Arrow batch once, and a worker keeps the values it has computed (at most ``KEEP`` of them).
+Training takes a bounded sample: ``SAMPLE_DOCS`` rows a language (fewer if there are more than
+``SAMPLE_ROWS / SAMPLE_DOCS`` languages), smallest id hashes first, as long as they come to no
+more than ``SAMPLE_CHARS`` characters. Letters are lower-cased and numbered (those beyond the
+``MAX_LETTERS`` most frequent ones share a number, so that four fit 64 bits); everything else is
+a space. N-grams up to order 4 are base-``K`` numbers, and each order of each language is a
+sorted array of them with its discounted probabilities and back-off weights, found by binary
+search. A text goes to the language with the lowest cross-entropy per character. Scoring takes
+``CHUNK`` characters at a time, each distinct n-gram once, and a worker keeps the values it has
+computed (at most ``KEEP`` of them).
 
 ``score`` is the share of the best language when each counts as exp(-cross-entropy * min(n,
 ``LENGTH``)). A prediction is rejected (``accepted`` false) if there is no letter, or if the
-cross-entropy is above what its language's training texts reach, by calibration.
-
-Defined cases: null texts and texts without a letter are ``und`` with score 0; rows that repeat
-are predicted each; extra columns pass through ``classify``; without a labelled row every
-prediction is ``und``; a language of which only texts without letters exist is not learnt.
+cross-entropy is above what its language reaches on every fourth sampled text; the models learn
+from the other three.
+
+Defined cases: null texts and texts without a letter are ``und`` with score 0; a very long text
+is scored whole, ``CHUNK`` characters at a time; rows that repeat are predicted each; extra
+columns pass through ``classify``, but for those of the names that it adds, which it replaces;
+without a labelled row every prediction is ``und``; a language of which only texts without
+letters or only texts over ``SAMPLE_CHARS`` exist is not learnt; of languages that score alike
+the first by name wins.
 """
 
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import label_bucket
+from .common import label_bucket, slices
 
 ORDER = 4
 SAMPLE_DOCS = 400
-MAX_LETTERS = 250
+SAMPLE_ROWS = 40_000
+SAMPLE_CHARS = 4_000_000
+MAX_LETTERS = 65_000
 LENGTH = 50
-KEEP = 2_000_000
-CHUNK = 2_000_000
+KEEP = 500_000
+CHUNK = 1 << 18
 MARGIN = 0.5
 
 
@@ -51,22 +59,19 @@ class Model:
 
     def __init__(self, samples: dict[str, list[str]]):
         arrays = {lang: [code_points(t) for t in docs if t] for lang, docs in samples.items()}
-        letters = letter_table()
-        counts = np.zeros(0x110000, np.int64)
-        for docs in arrays.values():
-            for a in docs:
-                counts += np.bincount(a, minlength=0x110000)
-        counts *= letters
-        common = np.argsort(-counts, kind="stable")[:MAX_LETTERS]
-        self.known = common[counts[common] > 0].astype(np.uint32)
+        every = [a for docs in arrays.values() for a in docs]
+        points, counts = np.unique(np.concatenate(every) if every else np.empty(0, np.uint32), return_counts=True)
+        points, counts = points[letter_table()[points] > 0], counts[letter_table()[points] > 0]
+        self.known = points[np.argsort(-counts, kind="stable")[:MAX_LETTERS]]
         self.k = len(self.known) + 2  # a space, the known letters, any other letter
         arrays = {lang: [x for x in (self._classes(a) for a in docs) if x.any()] for lang, docs in arrays.items()}
         self.langs = sorted(lang for lang, docs in arrays.items() if docs)
-        self.tables = {lang: self._count(arrays[lang]) for lang in self.langs}
+        learnt = {lang: [a for i, a in enumerate(docs) if i % 4] or docs for lang, docs in arrays.items()}
+        self.tables = {lang: self._count(learnt[lang]) for lang in self.langs}
         self.seen, self.values = np.empty(0, np.uint64), np.empty((0, len(self.langs)), np.float32)
         self.limit = {}
         for i, lang in enumerate(self.langs):
-            entropies = np.sort([self._entropies([a])[0][i] for a in arrays[lang]])
+            entropies = np.sort([self._entropies([a])[0][i] for a in arrays[lang][::4]])
             self.limit[lang] = float(entropies[int(0.999 * (len(entropies) - 1))] * (1 + MARGIN))
 
     def _classes(self, points: np.ndarray) -> np.ndarray:
@@ -127,7 +132,7 @@ class Model:
         fresh[inside] = self.seen[at[inside]] != grams[inside]
         new = grams[fresh]
         computed = np.stack([np.log(self._probabilities(new, lang)) for lang in self.langs], 1).astype(np.float32) if len(new) else None
-        if computed is not None and len(self.seen) + len(new) <= KEEP:
+        if 16 * len(new) > len(self.seen) and len(self.seen) + len(new) <= KEEP:  # few new ones aren't worth a merge
             merged = np.concatenate([self.seen, new])
             order = np.argsort(merged, kind="stable")
             self.seen, self.values = merged[order], np.concatenate([self.values, computed])[order]
@@ -141,16 +146,20 @@ class Model:
     def _entropies(self, docs: list[np.ndarray]) -> np.ndarray:
         """Cross-entropy per character of each document under each language, in nats."""
         sums, sizes = np.zeros((len(docs), len(self.langs))), np.array([len(d) for d in docs])
-        grams = np.concatenate([self.grams(d) for d in docs])
-        owner = np.repeat(np.arange(len(docs)), sizes)
-        for at in range(0, len(grams), CHUNK):
-            distinct, inverse = np.unique(grams[at : at + CHUNK], return_inverse=True)
-            logs = self._lookup(distinct)[inverse]
-            who = owner[at : at + CHUNK]
-            first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
-            sums[who[first]] += np.add.reduceat(logs, first, axis=0, dtype=np.float64)
+        if sizes.sum() <= 2 * CHUNK:
+            self._add(sums, np.arange(len(docs)), [self.grams(d) for d in docs])
+        else:
+            for i, d in enumerate(docs):
+                for at in range(0, len(d), CHUNK):
+                    before = max(at - ORDER + 1, 0)
+                    self._add(sums, np.array([i]), [self.grams(d[before : at + CHUNK])[at - before :]])
         return -sums / sizes[:, None]
 
+    def _add(self, sums: np.ndarray, who: np.ndarray, grams: list[np.ndarray]) -> None:
+        distinct, inverse = np.unique(np.concatenate(grams), return_inverse=True)
+        first = np.r_[0, np.cumsum([len(g) for g in grams])[:-1]]
+        sums[who] += np.add.reduceat(self._lookup(distinct)[inverse], first, axis=0, dtype=np.float64)
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         lang, score, accepted = ["und"] * len(texts), [0.0] * len(texts), [False] * len(texts)
         group, chars = [], 0
@@ -179,26 +188,32 @@ class Model:
 
 
 def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """``labelled``: doc_id, text, lang. Learns from ``sample_docs`` documents of each language,
-    those with the smallest id hashes; ids are chosen first, so few texts move."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (labelled.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
-           .withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample_docs).select("doc_id", "lang"))
-    rows = labelled.join(F.broadcast(ids.limit(1000 * sample_docs)), ["doc_id", "lang"], "left_semi").select("lang", "text").toPandas()
-    return Model({lang: sorted(t for t in part["text"] if t) for lang, part in rows.groupby("lang")})
+    """``labelled``: doc_id, text, lang. Learns from ``sample_docs`` rows of each language, those
+    with the smallest id hashes; ids are chosen first, so few texts move."""
+    order = Window.partitionBy("lang").orderBy("_h", "doc_id", "_t")
+    rows = labelled.where("lang IS NOT NULL AND doc_id IS NOT NULL").select(
+        "doc_id", "lang", F.xxhash64("doc_id").alias("_h"), F.xxhash64("text").alias("_t"), F.length("text").alias("_n"))
+    langs = rows.select("lang").distinct().count()
+    most = max(1, min(sample_docs, SAMPLE_ROWS // max(langs, 1)))
+    upto = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    ids = (rows.where(F.col("_n").between(1, SAMPLE_CHARS)).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most)
+           .withColumn("_upto", upto).where(F.col("_upto") <= SAMPLE_CHARS).select("doc_id", "lang", "_t").distinct())
+    found = labelled.withColumn("_t", F.xxhash64("text")).join(F.broadcast(ids), ["doc_id", "lang", "_t"], "left_semi")
+    found = found.dropDuplicates(["doc_id", "lang", "_t"]).select("lang", "text", "doc_id").toPandas()  # a row for each of ``ids``
+    return Model({lang: [t for _, t in sorted(zip(part["doc_id"], part["text"]))] for lang, part in found.groupby("lang")})
 
 
 def classify(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
-    """All columns of ``docs`` but for the text if ``keep_text`` is not wanted, see ``predictions``."""
+    """``docs`` with lang_pred, score and accepted, their names behind ``prefix``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     names = [f"{prefix}{n}" for n in ("lang_pred", "score", "accepted")]
+    docs = docs.drop(*names)
     schema = T.StructType(docs.schema.fields + [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.BooleanType())])
+    at = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
-            got = shared.value.predict(batch.column("text").to_pylist())
+        for batch in slices(batches, 1 << 20):
+            got = shared.value.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got[0], pa.string()), pa.array(got[1], pa.float64()), pa.array(got[2], pa.bool_())],
                                              names=[*batch.schema.names, *names])
 
@@ -210,11 +225,12 @@ def predictions(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for pdf in batches:
-            lang, score, accepted = shared.value.predict([None if t is None or t is pd.NA else t for t in pdf["text"]])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": lang, "score": score, "accepted": accepted})
+        for batch in slices(batches, 1 << 20):
+            lang, score, accepted = shared.value.predict(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())],
+                                             names=["doc_id", "lang_pred", "score", "accepted"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double, accepted boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean")
 
 
 def held_out(doc_id="doc_id"):
