@@ -30,13 +30,16 @@ links pool; rows with a null doc_id link with nothing; an empty table gives an e
 """
 
 import bisect
+import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, gram_hashes, materialise, mix, partitions_for, word_hashes
+from .common import connected_components, gram_hashes, materialise, mix, partitions_for, slices, word_hashes
 
 WORDS = 5
 SMALL = 128
@@ -44,6 +47,7 @@ PARTS = 64
 STAR_ROUNDS = 1
 MAP_BITS = 2048
 BLOCK = 2048
+SLICE = 4 << 20
 
 
 def _bounds() -> list[int]:
@@ -127,17 +131,35 @@ def _unpack(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _squeeze(values: np.ndarray) -> bytes:
+    """32-bit numbers, compressed by byte planes."""
+    return zlib.compress(np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unsqueeze(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
+BLOBS = "part int, docs binary, known binary, keys binary, ids binary, tags binary"
+NONE = -(2**63)
+
+
 def _summaries(docs: DataFrame, parts: int) -> DataFrame:
     """One pass over the texts: a summary of every document (kind 0), and the number of units
-    that it shares with any other document (kind 1), by scheme and segment."""
+    that it shares with any other document (kind 1), by scheme and segment.
+
+    A worker takes ``SLICE`` bytes of texts at a time. Keys go to the part of their value,
+    summaries to the parts in turn.
+    """
 
     def emit(batches):
-        for pdf in batches:
+        task = TaskContext.get().partitionId()
+        for number, batch in enumerate(slices(batches, SLICE)):
             ids, ks, rs, ss, meta = [], [], [], [], []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
                 tokens = shingles(text)
-                spares = [None, None]
-                if len(tokens) and not pd.isna(doc_id):
+                spares = [NONE, NONE]
+                if len(tokens) and doc_id is not None:
                     for role, (b, most) in enumerate(roles(len(tokens))):
                         k, s, spares[role] = keys(tokens, b, most)
                         ids.append(np.full(len(k), doc_id, np.int64))
@@ -146,62 +168,53 @@ def _summaries(docs: DataFrame, parts: int) -> DataFrame:
                         ss.append(s.astype(np.int32))
                 values = mix(tokens)
                 sums = [int(v.sum(dtype=np.uint64).astype(np.int64)) if len(v) else 0 for v in (values, mix(values ^ np.uint64(0xABCDEF)))]
-                meta.append((0, doc_id, len(tokens), *sums, *spares, None, None, None))
-            frame = pd.DataFrame(meta, columns=[c.split()[0] for c in DIRTY.split(", ")])
-            for at in range(0, len(frame), 500):
-                rows = frame.iloc[at : at + 500]
-                yield pd.DataFrame({"part": [at // 500 % parts], "payload": [rows.to_json(orient="values", double_precision=0).encode()], "keys": [None], "ids": [None], "rs": [None]})
-            if not ks:
-                continue
-            ids, k, r, s = (np.concatenate(x) for x in (ids, ks, rs, ss))
-            # of a key that several documents of this batch have, one goes on and all are known to share it
-            order = np.argsort(k, kind="stable")
-            same = np.r_[False, k[order][1:] == k[order][:-1]]
-            shared = np.zeros(len(k), bool)
-            shared[order[same]] = True
-            shared[order[np.r_[same[1:], False]]] = True
-            later = np.zeros(len(k), bool)
-            later[order[same]] = True
-            if shared.any():
-                known = pd.DataFrame({"doc_id": ids[shared], "role": r[shared], "seg": s[shared]}).value_counts(sort=False).reset_index(name="units")
-                yield pd.DataFrame({"part": [int(k[0] % np.uint64(parts))], "payload": [known.to_json(orient="values").encode()], "keys": [b""], "ids": [None], "rs": [None]})
-            ids, k, r, s = ids[~later], k[~later], r[~later], s[~later]
-            part = (k % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            bounds = np.searchsorted(part[order], np.arange(parts + 1))
-            for p in range(parts):
-                rows = order[bounds[p] : bounds[p + 1]]
-                if len(rows):
+                meta.append((doc_id is not None, doc_id or 0, len(tokens), *sums, *spares))
+            out = [{"part": (task * 31 + number) % parts, "docs": np.array(meta, "<i8").tobytes()}]
+            if ks:
+                ids, k, r, s = (np.concatenate(x) for x in (ids, ks, rs, ss))
+                # of a key that several documents of this slice have, one goes on and all are known to share it
+                order = np.argsort(k, kind="stable")
+                same = np.r_[False, k[order][1:] == k[order][:-1]]
+                shared = np.zeros(len(k), bool)
+                shared[order[same]] = True
+                shared[order[np.r_[same[1:], False]]] = True
+                later = np.zeros(len(k), bool)
+                later[order[same]] = True
+                if shared.any():
+                    known = pd.DataFrame({"doc_id": ids[shared], "role": r[shared], "seg": s[shared]}).value_counts(sort=False).reset_index(name="units")
+                    out[0]["known"] = known.to_numpy("<i8").tobytes()
+                ids, k, r, s = ids[~later], k[~later], r[~later], s[~later]
+                part = (k % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                bounds = np.searchsorted(part[order], np.arange(parts + 1))
+                for p in np.flatnonzero(np.diff(bounds)).tolist():
+                    rows = order[bounds[p] : bounds[p + 1]]
                     own, start = ids[rows], np.flatnonzero(np.r_[True, ids[rows][1:] != ids[rows][:-1]])
-                    runs = np.diff(np.r_[start, len(rows)])
-                    owners = np.stack([own[start], runs]).astype("<i8").tobytes()
-                    tag = (r[rows].astype(np.int32) << 24 | (s[rows] + 1)).astype("<i4")
-                    small = tag.view(np.uint8).reshape(-1, 4)
-                    yield pd.DataFrame({"part": [p], "payload": [None], "keys": [_pack(k[rows] >> np.uint64(16))], "ids": [owners], "rs": [_squeeze(small)]})
-
-    def _squeeze(small: np.ndarray) -> bytes:
-        import zlib
+                    owners = np.stack([own[start], np.diff(np.r_[start, len(rows)])]).astype("<i8").tobytes()
+                    tags = r[rows].astype(np.int32) << 24 | (s[rows] + 1)
+                    out.append({"part": p, "keys": _pack(k[rows] >> np.uint64(16)), "ids": owners, "tags": _squeeze(tags)})
+            yield pa.RecordBatch.from_pylist(out, schema=shape)
 
-        return zlib.compress(np.ascontiguousarray(small.T).tobytes(), 1)
+    shape = pa.schema([("part", pa.int32())] + [(c, pa.binary()) for c in ("docs", "known", "keys", "ids", "tags")])
+    names = [c.split()[0] for c in DIRTY.split(", ")]
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        import json
-        import zlib
-
-        names, out = [c.split()[0] for c in DIRTY.split(", ")], []
-        ks, ids, tags = [], [], []
-        for payload, blob, owners, small in zip(pdf["payload"], pdf["keys"], pdf["ids"], pdf["rs"]):
-            if payload is not None and blob is None:
-                out.append(pd.DataFrame(json.loads(payload), columns=names))
-            elif payload is not None:
-                known = pd.DataFrame(json.loads(payload), columns=["doc_id", "role", "seg", "units"])
-                out.append(known.assign(kind=1))
-            else:
-                k = _unpack(blob)
+        out, ks, ids, tags = [], [], [], []
+        for _, about, known, blob, owners, small in pdf.itertuples(index=False):
+            if about is not None:
+                meta = np.frombuffer(about, "<i8").reshape(-1, 7)
+                frame = pd.DataFrame(meta[:, 1:], columns=["doc_id", "n", "h1", "h2", "spare0", "spare1"]).astype("Int64")
+                frame.loc[meta[:, 0] == 0, "doc_id"] = pd.NA
+                for i, c in ((5, "spare0"), (6, "spare1")):
+                    frame.loc[meta[:, i] == NONE, c] = pd.NA
+                out.append(frame.assign(kind=0))
+            if known is not None:
+                out.append(pd.DataFrame(np.frombuffer(known, "<i8").reshape(-1, 4), columns=["doc_id", "role", "seg", "units"]).assign(kind=1))
+            if blob is not None:
                 own, runs = np.frombuffer(owners, "<i8").reshape(2, -1)
-                ks.append(k)
+                ks.append(_unpack(blob))
                 ids.append(np.repeat(own, runs))
-                tags.append(np.ascontiguousarray(np.frombuffer(zlib.decompress(small), np.uint8).reshape(4, -1).T).view("<i4").ravel())
+                tags.append(_unsqueeze(small))
         if ks:
             k, ids, tags = (np.concatenate(x) for x in (ks, ids, tags))
             order = np.argsort(k, kind="stable")
@@ -214,7 +227,7 @@ def _summaries(docs: DataFrame, parts: int) -> DataFrame:
         frame = pd.concat([o.reindex(columns=names) for o in out]) if out else pd.DataFrame(columns=names)
         return frame.astype({c: "Int64" for c in names}).astype({c: "Int32" for c in ("kind", "spare0", "spare1", "role", "seg", "units")})
 
-    blobs = docs.select("doc_id", "text").mapInPandas(emit, "part int, payload binary, keys binary, ids binary, rs binary")
+    blobs = docs.select("doc_id", "text").mapInArrow(emit, BLOBS)
     return materialise(blobs.groupBy("part").applyInPandas(gather, DIRTY), "summaries")
 
 
@@ -228,16 +241,16 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of the pairs (a, b), those whose sets are similar enough."""
 
     def run(batches):
-        for pdf in batches:
+        for batch in slices(batches, SLICE):
             keep = []
-            for x, y in zip(pdf["x"], pdf["y"]):
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= 80 * (len(x) + len(y) - both))
-            yield pdf.loc[keep, ["a", "b"]]
+            yield batch.select([0, 1]).filter(pa.array(keep))
 
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def bitmap(tokens: np.ndarray, b: int) -> bytes:
@@ -315,18 +328,18 @@ def _entries(sets: DataFrame) -> DataFrame:
     """The keys of every set, with their role, segment and spare units."""
 
     def emit(batches):
-        for pdf in batches:
+        for batch in slices(batches, SLICE // 2):
             out = []
-            for doc_id, blob in zip(pdf["doc_id"], pdf["tokens"]):
+            for doc_id, blob in zip(*(c.to_pylist() for c in batch.columns)):
                 tokens = np.frombuffer(blob, "<u8")
                 for role, (b, most) in enumerate(roles(len(tokens))):
                     k, s, spare = keys(tokens, b, most)
                     s = np.where(s < 0, -1 - np.arange(len(s)), s)
-                    out.append(pd.DataFrame({"key": k.view(np.int64), "doc_id": doc_id, "role": np.int32(role), "seg": s.astype(np.int32), "spare": np.int32(spare)}))
+                    out.append([k.view(np.int64), np.full(len(k), doc_id), np.full(len(k), role, np.int32), s.astype(np.int32), np.full(len(k), spare, np.int32)])
             if out:
-                yield pd.concat(out)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["key", "doc_id", "role", "seg", "spare"])
 
-    return sets.select("doc_id", "tokens").mapInPandas(emit, "key long, doc_id long, role int, seg int, spare int")
+    return sets.select("doc_id", "tokens").mapInArrow(emit, "key long, doc_id long, role int, seg int, spare int")
 
 
 def _probes(open_keys: DataFrame) -> DataFrame:
@@ -378,11 +391,12 @@ def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFra
     classes = materialise(marked.where("n > 0 AND doc_id IS NOT NULL").groupBy(sets_of).agg(F.min("doc_id").alias("rep"), F.max("alive").alias("alive")), "classes")
 
     def tokens(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "tokens": [shingles(t).astype("<u8").tobytes() for t in pdf["text"]]})
+        for batch in slices(batches, SLICE):
+            found = [shingles(t).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "tokens"])
 
     alive_ids = classes.where("alive").select(F.col("rep").alias("doc_id")).distinct()
-    sets = docs.select("doc_id", "text").join(alive_ids, "doc_id", "left_semi").mapInPandas(tokens, "doc_id long, tokens binary")
+    sets = docs.select("doc_id", "text").join(alive_ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(tokens, "doc_id long, tokens binary")
     return rows, marked, classes, materialise(sets.dropDuplicates(["doc_id", "tokens"]), "sets")
 
 
