@@ -9,8 +9,11 @@
    sort and no shared state; the last block chosen is cut, so that the quota is met to the word.
 
 Defined cases: a null text has size 0; null sources are one source, last in order; rows that
-repeat count each time; an empty table gives an empty result; extra columns pass through.
-The number of sources has to fit the driver (``MAX_SOURCES``); documents never go there.
+repeat count each time, in any order among themselves; rows of one id or without one share a
+shard; a very long text is split into words once; an empty table gives an empty result; extra
+columns pass through, whatever their names.
+The number of sources has to fit the driver (``MAX_SOURCES``); documents never go there. The plan
+of a mix is broadcast for up to ``BROADCAST_SOURCES`` sources and joined by shuffle beyond.
 """
 
 import heapq
@@ -19,11 +22,11 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import WORD, materialise
+from .common import WORD, let, materialise
 
 MAX_SOURCES = 1_000_000
+BROADCAST_SOURCES = 50_000
 SHARD_ROWS = 20_000
 BLOCKS = 1 << 14
 
@@ -99,10 +102,16 @@ def _partial(rest: int, size: int, block: int, last: int) -> tuple[int, int]:
     return full, left
 
 
+ADDED = ("source_size", "target", "passes", "picked", "taken")
+
+
 def mix(sized: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_repeats: int = 3, seed: int = 1, blocks: int = BLOCKS) -> DataFrame:
     """``sized``: doc_id, source, size and any other columns. Adds source_size, target, passes
-    (whole copies), picked (ranges of words, [from, to) of one more partial copy) and taken."""
+    (whole copies), picked (ranges of words, [from, to) of one more partial copy) and taken;
+    columns of these names are replaced."""
     spark = sized.sparkSession
+    others = [c for c in sized.columns if c not in ("doc_id", "source", "size", *ADDED)]
+    sized = sized.select("doc_id", "source", "size", F.struct(*[sized[c] for c in others]).alias("_rest") if others else F.lit(None).alias("_rest"))
     totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError("too many sources for one mix")
@@ -112,7 +121,8 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_repeats: i
     plan = spark.createDataFrame(
         [(r["source"], int(r["size"]), float(goal[r["source"]]), int(q), max(1, -(-r["n"] // SHARD_ROWS))) for r, q in zip(totals, quota)],
         "source string, source_size long, target double, source_words long, shards long")
-    planned = sized.alias("d").join(F.broadcast(plan.alias("p")), F.col("d.source").eqNullSafe(F.col("p.source"))).drop(F.col("p.source"))
+    small = len(totals) <= BROADCAST_SOURCES
+    planned = sized.alias("d").join(F.broadcast(plan.alias("p")) if small else plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).drop(F.col("p.source"))
     planned = planned.withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), "shards"))
 
     def allot(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -146,7 +156,7 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_repeats: i
     joined = joined.withColumn("picked", picked)
     part = F.aggregate("picked", F.lit(0).cast("long"), lambda acc, r: acc + r["to"] - r["from"])
     joined = joined.withColumn("taken", (F.col("passes") * F.col("size") + part).cast("long"))
-    return joined.drop("_shard", "_start", "block", "n_blocks", "stride", "full", "more")
+    return joined.select("doc_id", "source", "size", *(["_rest.*"] if others else []), *ADDED)
 
 
 def documents_mixed(docs: DataFrame) -> DataFrame:
@@ -159,14 +169,14 @@ def apply_mix(docs: DataFrame) -> DataFrame:
     """The mixed table itself: whole copies, then the picked words of a partial copy, as rows of
     the input's columns. A document whose size is 0 stays out, as do those with nothing taken."""
     columns = docs.columns
-    plan = mix(docs.withColumn("size", size_in_words(F.col("text"))))
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    partial = F.array_join(F.flatten(F.transform("picked", lambda r: F.slice(words, (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")))), " ")
+    plan = mix(docs.select("doc_id", "source", size_in_words(F.col("text")).alias("size"), F.struct(*[docs[c] for c in columns]).alias("all")))
+    text = F.col("all.text")
+    pick = lambda words: F.flatten(F.transform("picked", lambda r: F.slice(words, (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int"))))
+    partial = F.array_join(let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), pick), " ")
     copies = F.concat(F.array_repeat(F.lit(None).cast("string"), F.col("passes").cast("int")),
                       F.when(F.size("picked") > 0, F.array(partial)).otherwise(F.array().cast("array<string>")))
-    out = plan.withColumn("_copy", F.explode(copies)).withColumn("text", F.coalesce("_copy", "text"))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(columns) if "n_chars" in columns else out.select(columns)
-
-
-RESULT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("size", T.LongType()), T.StructField("source_size", T.LongType()),
-                       T.StructField("target", T.DoubleType()), T.StructField("taken", T.LongType())])
+    out = plan.select("all", F.explode(copies).alias("copy")).withColumn("mixed", F.coalesce("copy", text))
+    values = {c: F.col("all").getField(c) for c in columns} | {"text": F.col("mixed")}
+    if "n_chars" in columns:
+        values["n_chars"] = F.length("mixed").cast("long")
+    return out.select([values[c].alias(c) for c in columns])
