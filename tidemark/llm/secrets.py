@@ -20,6 +20,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+from .common import scan as scan_array
+
 # The base patterns, their kinds in order, the group that is measured, its least length.
 PATTERNS = [
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
@@ -35,26 +38,60 @@ MIN_MEAN = 0.5
 MIN_MEAN_PLAIN = 1.0
 BACKOFF = 5.0
 SPAN = "struct<kind:int,start:int,end:int>"
+WIDE = "UTF-32"  # four bytes a code point, so positions need no search
+
 
+def _wide_hex(text: str) -> str:
+    return text.encode("utf-32-be").hex().upper()
 
-def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
-    """Spans of the leftmost non-overlapping matches whose measured group is long enough.
+
+def _found(text: Column, pattern: str, hit, group: int = 0) -> Column:
+    """(start, end) of the leftmost non-overlapping matches; ``hit(match, group)`` says which count.
 
     The gaps between matches are what ``split`` leaves, so a running sum over gaps and
     matches gives positions.
     """
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    sizes = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    zipped = F.arrays_zip(found.alias("m"), sizes.alias("v"), F.slice(gaps, F.lit(1), F.size(found)).alias("g"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    def parts(gaps, found):
+        sizes = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+        hits = F.zip_with(found, sizes, hit)
+        return F.zip_with(F.arrays_zip(F.transform(found, F.length).alias("m"), hits.alias("hit")), F.slice(gaps, F.lit(1), F.size(found)), lambda x, gap: x.withField("g", F.length(gap)))
+
+    zipped = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: parts(F.split(text, pattern, -1), found))
+
+    def step(at, x):
+        begin = at + x["g"]
+        end = begin + x["m"]
+        return F.struct(end.alias("state"), F.struct(x["hit"].alias("hit"), begin.alias("start"), end.alias("end")).alias("out"))
+
+    spans = F.filter(scan_array(zipped, F.lit(0), step), lambda s: s["hit"])
+    return F.when(F.regexp_like(text, F.lit(pattern)), spans)
+
+
+def _kind(spans: Column, kind: str) -> Column:
+    named = F.transform(spans, lambda s: F.struct(F.lit(KIND_ORDER[kind]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return F.coalesce(named, F.array().cast(f"array<{SPAN}>"))
 
-    def step(acc, x):
-        begin = acc["at"] + F.length(x["g"])
-        end = begin + F.length(x["m"])
-        span = F.struct(F.lit(KIND_ORDER[kind]).alias("kind"), begin.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.length(x["v"]) >= least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(f"array<{SPAN}>"))
+def _by_start(a: Column, b: Column) -> Column:
+    return F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"])
+
+
+def _loose(base: Column, more: Column) -> Column:
+    """Of the spans ``more``, which don't overlap each other, those that no base span overlaps:
+    one pass forward knows how far base spans reach, one backward where the next one begins."""
+    def reach(upto, s):
+        free = s["kind"].eqNullSafe(KIND_ORDER["random"])
+        out = F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), (free & (upto <= s["start"])).alias("free"))
+        return F.struct(F.when(free, upto).otherwise(F.greatest(upto, s["end"])).alias("state"), out.alias("out"))
+
+    def begin(following, s):
+        base_span = s["kind"] != KIND_ORDER["random"]
+        out = F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), (s["free"] & (following >= s["end"])).alias("free"))
+        return F.struct(F.when(base_span, s["start"]).otherwise(following).alias("state"), out.alias("out"))
+
+    ahead = F.reverse(scan_array(F.array_sort(F.concat(base, more), _by_start), F.lit(0), reach))
+    kept = F.filter(F.reverse(scan_array(ahead, F.lit(2**31 - 1), begin)), lambda s: s["free"])
+    return F.transform(kept, lambda s: s.dropFields("free"))
 
 
 def _pairs(token: Column) -> Column:
@@ -87,31 +124,23 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float]:
 
 
 def scan(docs: DataFrame, model: list[float]) -> DataFrame:
-    """Adds ``base`` and ``spans``, arrays of (kind, start, end) by start, then kind."""
-    text = F.coalesce("text", F.lit(""))
+    """Adds ``base`` and ``spans``, arrays of (kind, start, end) by start, then kind, in place of
+    any columns of these names."""
     ratios = F.split(F.lit(",".join(f"{x:.6g}" for x in model)), ",").cast("array<double>")  # folded to one literal
-    out = docs.withColumn("_text", text)
-    for kind, pattern, group, least in PATTERNS:
-        out = out.withColumn(f"_{kind}", _spans(F.col("_text"), kind, pattern, group, least))
-    order = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"])
-    out = out.withColumn("base", F.array_sort(F.concat(*[f"_{k}" for k, *_ in PATTERNS]), order))
-    found, gaps = F.regexp_extract_all("_text", F.lit(TOKEN), F.lit(0)), F.split("_text", TOKEN, -1)
-    zipped = F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("g"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
-
-    def step(acc, x):
-        begin = acc["at"] + F.length(x["g"])
-        end = begin + F.length(x["m"])
-        score = F.aggregate(_pairs(x["m"]), F.lit(0.0), lambda s, p: s + F.element_at(ratios, p + 1)) / (F.length(x["m"]) - 1)
-        hit = score >= F.when(F.regexp_like(x["m"], F.lit("[0-9]")), MIN_MEAN).otherwise(MIN_MEAN_PLAIN)
-        span = F.struct(F.lit(KIND_ORDER["random"]).alias("kind"), begin.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(hit, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
-
-    more = F.when(F.regexp_like("_text", F.lit(TOKEN)), F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(f"array<{SPAN}>"))
-    out = out.withColumn("_more", more)
-    loose = F.filter("_more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    out = out.withColumn("spans", F.array_sort(F.concat("base", loose), order))
-    return out.drop("_text", "_more", *[f"_{k}" for k, *_ in PATTERNS])
+    rest = [c for c in docs.columns if c not in ("base", "spans")]
+    out = docs.select(F.struct(*[docs[c] for c in rest]).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    none = F.array().cast(f"array<{SPAN}>")
+    enough = lambda least: lambda m, v: F.length(v) >= least
+    kinds = [_kind(_found(F.col("text"), pattern, enough(least), group), kind) for kind, pattern, group, least in PATTERNS]
+    out = out.withColumn("base", F.array_sort(F.concat(*kinds), _by_start))
+
+    def random(token, _):
+        score = F.aggregate(_pairs(token), F.lit(0.0), lambda s, p: s + F.element_at(ratios, p + 1)) / (F.length(token) - 1)
+        return score >= F.when(F.regexp_like(token, F.lit("[0-9]")), MIN_MEAN).otherwise(MIN_MEAN_PLAIN)
+
+    out = out.withColumn("more", _kind(_found(F.col("text"), TOKEN, random), "random"))
+    loose = F.when(F.size("more") == 0, none).when(F.size("base") == 0, F.col("more")).otherwise(_loose(F.col("base"), F.col("more")))
+    return out.select("row.*", "base", F.array_sort(F.concat("base", loose), _by_start).alias("spans"))
 
 
 def listed(spans: str) -> Column:
@@ -124,16 +153,24 @@ def count(kind: str) -> Column:
 
 
 def redact(docs: DataFrame, model: list[float], mark: str = "[SECRET]") -> DataFrame:
-    """The same rows with every finding replaced; overlapping spans are replaced once."""
+    """The same rows and columns with every finding replaced; overlapping spans are replaced once.
+    ``n_chars``, where it is a column, follows the text."""
     columns = docs.columns
-    found = scan(docs, model)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        cut = s["start"] >= acc["at"]
-        between = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(cut, F.concat(acc["out"], between, F.lit(mark))).otherwise(acc["out"]).alias("out"))
-
-    whole = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    out = found.withColumn("text", F.when(F.size("spans") > 0, whole).otherwise(F.col("text")))
-    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(columns) if "n_chars" in columns else out.select(columns)
+    found = scan(docs.select(F.struct(*[docs[c] for c in columns]).alias("all"), "text"), model)
+
+    def step(at, s):
+        piece = F.struct((s["start"] >= at).alias("cut"), at.alias("from"), s["start"].alias("to"))
+        return F.struct(F.greatest(at, s["end"]).alias("state"), piece.alias("out"))
+
+    def whole(wide):
+        pieces = F.filter(scan_array(F.col("spans"), F.lit(0), step), lambda g: g["cut"])
+        hexed = F.transform(pieces, lambda g: F.concat(F.hex(F.substring(wide, 4 * g["from"] + 1, 4 * (g["to"] - g["from"]))), F.lit(_wide_hex(mark))))
+        rest = F.hex(F.substring(wide, 4 * F.array_max(F.transform("spans", lambda s: s["end"])) + 1, F.length(wide)))
+        data = F.unhex(F.concat(F.lit(_wide_hex(".")), F.array_join(hexed, ""), rest))
+        return F.substring(F.decode(data, WIDE), F.lit(2), F.lit(2**31 - 1))
+
+    text = F.when(F.size("spans") > 0, let(F.encode("text", WIDE), whole)).otherwise(F.col("text"))
+    values = {c: F.col("all").getField(c) for c in columns} | {"text": F.col("clean")}
+    if "n_chars" in columns:
+        values["n_chars"] = F.when(F.col("clean").isNotNull(), F.length("clean")).otherwise(values["n_chars"]).cast("long")
+    return found.withColumn("clean", text).select([values[c].alias(c) for c in columns])
