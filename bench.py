@@ -11,7 +11,8 @@ SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = ["append_assign_lsn", "roll_by_records", "roll_by_bytes", "block_stats", "partition_heads", "replay_range", "fetch_point", "seek_timestamp",
             "list_segments_page", "leaf_pages", "locate_records", "audit_lsn_gaps", "audit_segment_contiguity", "retention_effective_floor",
-            "gc_budgeted", "scrub_orphan_segments", "projection_latest_state", "order_timelines", "lineitem_segment_rollup"]
+            "gc_budgeted", "scrub_orphan_segments", "projection_latest_state", "order_timelines", "lineitem_segment_rollup",
+            "source_records", "source_replay_range", "source_fetch", "source_seek", "source_segments"]
 
 
 def main() -> None:

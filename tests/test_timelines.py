@@ -106,3 +106,44 @@ def test_greedy_cuts_and_limits():
 def test_bad_stream_names(name):
     with pytest.raises(errors.InvalidRequestError):
         canonical_stream_id(name)
+
+
+def test_reads_touch_few_segments_and_pages(spark, tmp_path):
+    """Three range reads open a segment and one reads a block; a limited read plans only the segments that hold it."""
+    from tidemark.sources import plseg
+    from tidemark.sources.timeline import TimelineReader
+
+    data, reads = plseg.encode([plseg.Record(i, b"x" * 40) for i in range(400)], plseg.SegmentOptions(0, 0, b"\2" * 16, block_bytes=600)), []
+
+    def read_at(offset, n):
+        reads.append(n)
+        return data[offset:offset + n]
+
+    reader = plseg.SegmentReader(read_at, len(data))
+    assert len(reads) == 3 and reader.block_count == 40
+    assert [r.lsn for r in reader.read(205, 3)] == [205, 206, 207] and len(reads) == 4
+    assert reader.find_timestamp(333) == 333 and len(reads) == 5
+    log = Timelines(spark, str(tmp_path), "touch", leaf_limit=4, index_limit=4)
+    log.append(rows(spark, 0, 400), ["n"], max_records=10)
+    options = {"path": str(tmp_path), "stream": "touch", "partitions": "1"}
+    whole, limited = TimelineReader(options), TimelineReader(options | {"limit": "25"})
+    limited.low = 57
+    assert len(whole.partitions()) == 20 and [c.ref.base_lsn for c in limited.partitions()] == [50, 60, 70, 80]
+    pages = log.store.pages(1)
+    head = log.store.load(1)
+    assert next(pages.scan(head.roots, head.active, 111, 112)).base_lsn == 110 and pages.reads <= len(head.roots)
+    assert log.pages().where("level = 1").count() == 2 and head.segment_count == 20
+
+
+def test_stream_restarts_with_limited_batches(spark, tmp_path):
+    log = Timelines(spark, str(tmp_path / "log"), "tail")
+    log.append(rows(spark, 0, 80), ["n"], max_records=8)
+    out, marks = str(tmp_path / "out"), str(tmp_path / "marks")
+    for more in (0, 30):
+        if more:
+            log.append(rows(spark, 80, more), ["n"])
+        q = log.read_stream(max_records=7).writeStream.format("parquet").option("checkpointLocation", marks).trigger(processingTime="0 seconds").start(out)
+        q.processAllAvailable()
+        q.stop()
+        got = spark.read.schema("partition long, lsn long").parquet(out)
+        assert got.count() == got.distinct().count() == 80 + more

@@ -4,21 +4,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _order():
-    return Window.partitionBy("partition").orderBy("lsn")
+CHUNK = 1 << 20
 
 
-def lsn_gaps(records: DataFrame) -> DataFrame:
+def _with_previous(records: DataFrame, column: str, chunk: int) -> DataFrame:
+    """``column`` of the record before, as ``_previous``.
+
+    Windows run inside (partition, chunk of sequence numbers), so a busy partition is many tasks;
+    the first record of a chunk gets the last value of the nearest chunk before it.
+    """
+    lean = records.select("partition", "lsn", F.col(column).alias("_value"), F.floor(F.col("lsn") / chunk).alias("_chunk"))
+    ends = lean.groupBy("partition", "_chunk").agg(F.max_by("_value", "lsn").alias("_end"))  # a row per chunk
+    ends = ends.withColumn("_before", F.lag("_end").over(Window.partitionBy("partition").orderBy("_chunk"))).drop("_end")
+    inside = F.lag("_value").over(Window.partitionBy("partition", "_chunk").orderBy("lsn"))
+    first = F.row_number().over(Window.partitionBy("partition", "_chunk").orderBy("lsn")) == 1
+    placed = lean.withColumn("_inside", inside).withColumn("_first", first).join(ends, ["partition", "_chunk"])
+    return placed.withColumn("_previous", F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_inside")))
+
+
+def lsn_gaps(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Places where a sequence number does not follow its predecessor."""
-    previous = F.lag("lsn").over(_order())
-    return records.select("partition", "lsn", previous.alias("previous_lsn")).where(F.col("lsn") != F.col("previous_lsn") + 1)
+    return _with_previous(records, "lsn", chunk).where(F.col("lsn") != F.col("_previous") + 1).select("partition", "lsn", F.col("_previous").alias("previous_lsn"))
 
 
-def timestamp_regressions(records: DataFrame) -> DataFrame:
+def timestamp_regressions(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Records earlier than their predecessor; equal timestamps are legal."""
-    previous = F.lag("timestamp_ms").over(_order())
-    return (records.select("partition", "lsn", "timestamp_ms", previous.alias("previous_ms"))
-            .where(F.col("timestamp_ms") < F.col("previous_ms")))
+    found = _with_previous(records, "timestamp_ms", chunk).where(F.col("_value") < F.col("_previous"))
+    return found.select("partition", "lsn", F.col("_value").alias("timestamp_ms"), F.col("_previous").alias("previous_ms"))
 
 
 def segment_contiguity(segs: DataFrame) -> DataFrame:

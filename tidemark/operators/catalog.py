@@ -76,3 +76,16 @@ def locate(records: DataFrame, segs: DataFrame, span: int) -> DataFrame:
     return (records.withColumn("_slot", F.floor(F.col("lsn") / span))
             .join(slots.select("partition", "_slot", "segment_no", "base_lsn", "last_lsn"), ["partition", "_slot"])
             .where((F.col("lsn") >= F.col("base_lsn")) & (F.col("lsn") <= F.col("last_lsn"))).drop("_slot"))
+
+
+def duplicate_identities(segs: DataFrame, identity: str = "segment_uuid") -> DataFrame:
+    """Identities that more than one segment of a partition has; a catalog must not have any."""
+    return segs.groupBy("partition", identity).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+
+
+def roots_and_active(segs: DataFrame, fanout: int) -> DataFrame:
+    """What a head refers to with one level of pages: full leaves, then the segments after them."""
+    leaves = leaf_pages(segs, fanout)
+    full = leaves.where(F.col("entries") == fanout).select("partition", F.lit("page").alias("kind"), "seq_lo", "seq_hi")
+    rest = segs.withColumn("leaf_no", F.floor(F.col("segment_no") / fanout)).join(leaves.where(F.col("entries") < fanout).select("partition", "leaf_no"), ["partition", "leaf_no"], "left_semi")
+    return full.unionByName(rest.select("partition", F.lit("segment").alias("kind"), F.col("base_lsn").alias("seq_lo"), F.col("last_lsn").alias("seq_hi")))

@@ -61,3 +61,18 @@ def run_summary(objects: DataFrame, doomed: DataFrame) -> DataFrame:
     return flagged.groupBy("partition").agg(
         F.count(F.lit(1)).alias("scanned"), F.count("_doomed").alias("candidates"),
         F.coalesce(F.sum(F.when(F.col("_doomed") == 1, F.col("size_bytes"))), F.lit(0)).alias("candidate_bytes"))
+
+
+def first_keys(objects: DataFrame, after_key: str, limit: int) -> DataFrame:
+    """One listing page: the first keys strictly after a key."""
+    return objects.where(F.col("key") > after_key).orderBy("key").limit(limit)
+
+
+def delete_checkpoints(candidates: DataFrame, key: str = "key") -> DataFrame:
+    """The key before each candidate: where a listing resumes if its delete fails."""
+    return candidates.withColumn("before_key", F.lag(key, 1, "").over(Window.partitionBy("partition").orderBy(key)))
+
+
+def ready_first(work: DataFrame, ready: str, ties: list[str], limit: int) -> DataFrame:
+    """What is ready earliest; ties in the order they were queued."""
+    return work.orderBy(ready, *ties).limit(limit)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..functions.numbers import saturating_add, saturating_mul
 
 
 def assign_lsn(rows: DataFrame, order: list[str], *, partition: str = "partition", time_ms: str = "timestamp_ms",
@@ -47,13 +48,18 @@ def roll_by_records(records: DataFrame, max_records: int = schema.ROLL_RECORDS)
 def greedy_cuts(sizes: np.ndarray, max_records: int, max_bytes: int, state: tuple[int, int, int]) -> tuple[np.ndarray, tuple[int, int, int]]:
     """Segment numbers of records in order; ``state`` is (segment, its records, its bytes).
 
-    A record that is larger than the limit gets a segment of its own.
+    A record that is larger than the limit gets a segment of its own. The end of each segment is
+    found by binary search in the running sum, so the loop is over segments.
     """
     out, (segment, count, used) = np.empty(len(sizes), np.int64), state
-    for i, size in enumerate(sizes.tolist()):
-        if count and (count >= max_records or used >= max_bytes or size > max_bytes - used):
+    upto, at = np.r_[0, np.cumsum(sizes, dtype=np.int64)], 0
+    while at < len(sizes):
+        if count and (count >= max_records or used >= max_bytes or sizes[at] > max_bytes - used):
             segment, count, used = segment + 1, 0, 0
-        out[i], count, used = segment, count + 1, used + size
+        end = int(np.searchsorted(upto, upto[at] + max_bytes - used, side="right")) - 1
+        end = min(max(end, at + 1), at + max(max_records - count, 1), len(sizes))
+        out[at:end] = segment
+        count, used, at = count + end - at, used + int(upto[end] - upto[at]), end
     return out, (segment, count, used)
 
 
@@ -88,3 +94,11 @@ def block_stats(records: DataFrame, per_block: int, per_segment: int) -> DataFra
             .groupBy("partition", "segment_no", "block_no")
             .agg(F.count(F.lit(1)).alias("record_count"), F.min("lsn").alias("base_lsn"),
                  F.min("timestamp_ms").alias("min_timestamp_ms"), F.max("timestamp_ms").alias("max_timestamp_ms")))
+
+
+def inflight_bytes(raw: Column, records: Column, compressed: bool = True) -> Column:
+    """Upper bound of what a segment in flight takes: its raw bytes, a quarter more if it is
+    compressed, a preamble and an index entry for a block each record, and the fixed parts."""
+    stored = saturating_add(raw, F.floor((raw + 3) / 4)) if compressed else raw
+    blocks = saturating_mul(F.lit(128), F.greatest(records, F.lit(1)))
+    return saturating_add(F.lit(64 + 64 + 192), saturating_add(stored, blocks))

@@ -1,6 +1,7 @@
 """Replay: range, point and timestamp reads bounded by a captured head, and cursors."""
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -77,17 +78,21 @@ def next_position(batch: DataFrame, start: int) -> int:
 
 @dataclass
 class Cursor:
-    """Replays one partition batch by batch; advances only when records were returned."""
+    """Replays one partition batch by batch; advances only when records were returned. At its
+    head it asks ``refresh(position)``, if given, for a newer one."""
 
     records: DataFrame
     head: Head
     position: int
     limit: int = 0
     closed: bool = False
+    refresh: Callable[[int], Head] | None = None
 
     def next(self) -> list:
         if self.closed:
             raise InvalidRequestError("cursor is closed")
+        if self.refresh is not None and self.position >= self.head.next_lsn:
+            self.head = self.refresh(self.position)
         rows = consume(self.records, self.head, self.position, self.limit).collect()  # at most the read limit
         if rows:
             self.position = rows[-1]["lsn"] + 1

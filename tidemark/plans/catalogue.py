@@ -4,12 +4,17 @@ The timeline under test comes from ``events``: partition = user_id % 8, order (t
 one header with the event type, the JSON properties as payload, segments of 128 records.
 """
 
+import atexit
+import hashlib
+import os
+import shutil
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import keys
+from ..functions import hashing, keys, numbers
 from ..operators import audit, catalog, gc, ingest, projection, replay, retention
 
 PER_SEGMENT, PER_BLOCK, FANOUT = 128, 16, 4
@@ -416,3 +421,182 @@ def _(spark, d):
         (F.col("l_suppkey") % 16).alias("partition"), F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("timestamp_ms"), "l_orderkey", "l_linenumber")
     numbered = ingest.assign_lsn(rows, ["l_orderkey", "l_linenumber"], chunk_ms=90 * 86_400_000)
     return catalog.segments(ingest.roll_by_records(numbered, 1024))
+
+
+# Queries through the ``timeline`` source: the records are written as segments and pages once, and read back.
+
+def timelines(spark: SparkSession, d: str) -> "Timelines":
+    """The timeline of ``events`` as a store in the shared folder; written when first asked for."""
+    from .timelines import Timelines
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = _FOLDERS.setdefault("own", tempfile.mkdtemp(prefix="tidemark-"))
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    key = f"{spark.sparkContext.applicationId}-{hashlib.md5(d.encode()).hexdigest()[:8]}"
+    root = os.path.join(base.removeprefix("file://").removeprefix("file:"), f"timeline-{key}")
+    log = Timelines(spark, root, "events", leaf_limit=FANOUT, index_limit=FANOUT)
+    if root not in _FOLDERS:
+        shutil.rmtree(root, ignore_errors=True)
+        rows = records(spark, d).select("partition", "timestamp_ms", "event_id", "headers", "value")
+        log.append(rows, ["event_id"], max_records=PER_SEGMENT)
+        _FOLDERS[root] = root
+    return log
+
+
+_FOLDERS: dict[str, str] = {}
+READ = "SELECT p AS partition, lsn, t AS timestamp_ms, event_type, props FROM r"
+
+
+def read_back(df: DataFrame) -> DataFrame:
+    return df.select("partition", "lsn", "timestamp_ms", projection.header("event_type").alias("event_type"), F.decode("value", "UTF-8").alias("props"))
+
+
+@query("source_records", BASE + READ)
+def _(spark, d):
+    return read_back(timelines(spark, d).records())
+
+
+@query("source_verified", BASE + READ + " WHERE p IN (2, 5)")
+def _(spark, d):
+    return read_back(timelines(spark, d).records(verify="true").where("partition IN (2, 5)"))
+
+
+@query("source_replay_range", BASE + READ + " WHERE p = 7 AND lsn >= 100 ORDER BY lsn LIMIT 50")
+def _(spark, d):
+    return read_back(timelines(spark, d).partition(7).consume(100, 50))
+
+
+@query("source_after", BASE + READ + " WHERE p = 3 AND lsn > 10 ORDER BY lsn LIMIT 20")
+def _(spark, d):
+    return read_back(timelines(spark, d).partition(3).consume_after(10, 20))
+
+
+@query("source_fetch", BASE + READ + " WHERE p = 5 AND lsn = 42")
+def _(spark, d):
+    return read_back(timelines(spark, d).partition(5).fetch(42))
+
+
+@query("source_seek", BASE + READ + f" WHERE p = 4 AND t >= {MIDDLE} ORDER BY lsn LIMIT 30")
+def _(spark, d):
+    return read_back(timelines(spark, d).partition(4).consume_from_timestamp(middle(spark, d), 30))
+
+
+@query("source_at_tail", BASE + READ + " WHERE false")
+def _(spark, d):
+    one = timelines(spark, d).partition(1)
+    return read_back(one.consume(one.head().next_lsn))
+
+
+@query("source_between", BASE + READ + f" WHERE t BETWEEN {MIDDLE} AND {MIDDLE} + 86400000")
+def _(spark, d):
+    at = middle(spark, d)
+    return read_back(timelines(spark, d).records().where(f"timestamp_ms >= {at} AND timestamp_ms <= {at + 86_400_000}"))
+
+
+@query("source_segments", BASE + "SELECT p AS partition, base AS base_lsn, last AS last_lsn, mn AS min_timestamp_ms, mx AS max_timestamp_ms, n AS record_count FROM s")
+def _(spark, d):
+    return timelines(spark, d).segments().select("partition", "base_lsn", "last_lsn", "min_timestamp_ms", "max_timestamp_ms", "record_count")
+
+
+@query("source_heads", BASE + "SELECT p AS partition, next_lsn, oldest_lsn, segs AS segment_count, last_ms AS last_timestamp_ms FROM h")
+def _(spark, d):
+    return timelines(spark, d).heads().drop("writer_epoch")
+
+
+@query("source_pages", BASE + """, l AS (SELECT p, seg, base, last, mn, mx, max(seg) OVER (PARTITION BY p) + 1 AS n FROM s),
+q AS (SELECT p, k AS level, seg // CAST(4 ** (k + 1) AS BIGINT) AS no, min(base) AS lo, max(last) AS hi, min(mn) AS mn, max(mx) AS mx, count(*) AS c FROM l, range(0, 12) t(k) GROUP BY 1, 2, 3)
+SELECT p AS partition, CAST(level AS INTEGER) AS level, lo AS seq_lo, hi AS seq_hi, mn AS min_timestamp_ms, mx AS max_timestamp_ms, 4::BIGINT AS entries FROM q WHERE c = CAST(4 ** (level + 1) AS BIGINT)""")
+def _(spark, d):
+    return timelines(spark, d).pages().drop("key", "generation")
+
+
+@query("source_find_segment", BASE + "SELECT p AS partition, base AS base_lsn, last AS last_lsn FROM s WHERE base <= 77 AND last >= 77")
+def _(spark, d):
+    log = timelines(spark, d)
+    found = [(p, log.store.find_segment(log.store.load(p), 77)) for p in log.store.partitions()]
+    return spark.createDataFrame([(p, r.base_lsn, r.last_lsn) for p, r in found if r], "partition long, base_lsn long, last_lsn long")
+
+
+@query("source_lookup_timestamp", BASE + f"SELECT p AS partition, min(base) AS base_lsn FROM s WHERE mx >= {MIDDLE} GROUP BY 1")
+def _(spark, d):
+    log, at = timelines(spark, d), middle(spark, d)
+    found = [(p, log.store.lookup_timestamp(log.store.load(p), at)) for p in log.store.partitions()]
+    return spark.createDataFrame([(p, r.base_lsn) for p, r in found if r], "partition long, base_lsn long")
+
+
+@query("checksum_crc32c", BASE.replace("WITH r", """WITH RECURSIVE g AS (SELECT i, i AS c, 0 AS k FROM range(0, 256) t(i) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 2197175160) ELSE c // 2 END, k + 1 FROM g WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS v FROM g WHERE k = 8), r""") + """SELECT p AS partition, lsn, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(event_type, ''), lambda x: ord(x)::BIGINT)),
+ lambda a, b: xor(a // 256, v[xor(a % 256, b) + 1])), 4294967295) AS crc32c FROM r, tab""")
+def _(spark, d):
+    typed = records(spark, d).select("partition", "lsn", F.encode(projection.header("event_type"), "UTF-8").alias("data"))
+    return typed.select("partition", "lsn", hashing.crc32c_col("data").alias("crc32c"))
+
+
+@query("duplicate_identity", BASE + "SELECT p AS partition, seg % 3 AS identity, count(*) AS copies FROM s GROUP BY 1, 2 HAVING count(*) > 1")
+def _(spark, d):
+    return catalog.duplicate_identities(segments(spark, d).withColumn("identity", F.col("segment_no") % 3), "identity")
+
+
+@query("roots_and_active", BASE + """, l AS (SELECT p, seg // 4 AS leaf, min(base) AS lo, max(last) AS hi, count(*) AS c FROM s GROUP BY 1, 2)
+SELECT p AS partition, 'page' AS kind, lo AS seq_lo, hi AS seq_hi FROM l WHERE c = 4 UNION ALL SELECT s.p, 'segment', base, last FROM s JOIN l ON l.p = s.p AND l.leaf = s.seg // 4 WHERE c < 4""")
+def _(spark, d):
+    return catalog.roots_and_active(segments(spark, d), FANOUT)
+
+
+@query("list_first_keys", BASE + OBJECTS + " SELECT p::VARCHAR || '/' || name AS key FROM o WHERE p::VARCHAR || '/' || name > '3/' ORDER BY 1 LIMIT 25")
+def _(spark, d):
+    return gc.first_keys(objects(spark, d), "3/", 25).select("key")
+
+
+@query("gc_checkpoint_keys", BASE + OBJECTS + " SELECT p AS partition, name, lag(name, 1, '') OVER (PARTITION BY p ORDER BY name) AS before_key FROM o WHERE epoch = 2")
+def _(spark, d):
+    return gc.delete_checkpoints(objects(spark, d).where("writer_epoch = 2"), "name").select("partition", "name", "before_key")
+
+
+@query("gc_quarantine_confirmed", BASE + """, l AS (SELECT p, seg // 4 AS leaf, min(base) AS lo, max(last) AS hi FROM s GROUP BY 1, 2)
+SELECT p AS partition, lo AS seq_lo FROM l WHERE leaf % 3 = 1 AND leaf % 2 = 0 AND 100 - leaf >= 40""")
+def _(spark, d):
+    pages = catalog.leaf_pages(segments(spark, d), FANOUT).withColumn("key", F.concat_ws("/", "partition", "leaf_no"))
+    held = pages.where("leaf_no % 3 = 1").withColumn("since_ms", F.col("leaf_no"))
+    return gc.confirm_quarantine(held, pages.where("leaf_no % 2 = 0"), 100, 40).select("partition", "seq_lo")
+
+
+@query("ready_queue", BASE + "SELECT p AS partition, seg AS segment_no FROM s ORDER BY mx, p, seg LIMIT 10")
+def _(spark, d):
+    return gc.ready_first(segments(spark, d), "max_timestamp_ms", ["partition", "segment_no"], 10).select("partition", "segment_no")
+
+
+@query("inflight_estimate", BASE + """SELECT p AS partition, seg AS segment_no, CAST(64 + 64 + 192 + sum(32 + strlen(event_type) + strlen(props)) + (sum(32 + strlen(event_type) + strlen(props)) + 3) // 4 + 128 * count(*) AS DECIMAL(20,0)) AS bytes
+ FROM (SELECT *, lsn // 128 AS seg FROM r) GROUP BY 1, 2""")
+def _(spark, d):
+    sized = records(spark, d).select("partition", F.floor(F.col("lsn") / PER_SEGMENT).alias("segment_no"), ingest.record_size().alias("b"))
+    return (sized.groupBy("partition", "segment_no").agg(F.sum("b").alias("raw"), F.count(F.lit(1)).alias("n"))
+            .select("partition", "segment_no", ingest.inflight_bytes(F.col("raw"), F.col("n")).alias("bytes")))
+
+
+@query("saturating_arithmetic", BASE + """SELECT p AS partition, least(CAST(18446744073709551610 + next_lsn AS HUGEINT), 18446744073709551615)::DECIMAL(20,0) AS added,
+ least(CAST(next_lsn AS HUGEINT) * 1000000000000000000, 18446744073709551615)::DECIMAL(20,0) AS multiplied FROM h""")
+def _(spark, d):
+    n = F.col("next_lsn")
+    return catalog.heads(segments(spark, d)).select(
+        "partition", numbers.saturating_add(F.lit("18446744073709551610"), n).alias("added"), numbers.saturating_mul(n, F.lit("1000000000000000000")).alias("multiplied"))
+
+
+@query("encoded_payloads", BASE + "SELECT p AS partition, lsn, base64(encode(props)) AS base64, hex(encode(props)) AS hex FROM r WHERE lsn < 50")
+def _(spark, d):
+    return records(spark, d).where("lsn < 50").select("partition", "lsn", F.base64("value").alias("base64"), F.hex("value").alias("hex"))
+
+
+@query("big_endian_fields", BASE + "SELECT p AS partition, lsn, CAST(16777216::BIGINT * ord(props[1]) + 65536 * ord(props[2]) + 256 * ord(props[3]) + ord(props[4]) AS DECIMAL(20,0)) AS field FROM r WHERE strlen(props) >= 4")
+def _(spark, d):
+    return records(spark, d).where(F.octet_length("value") >= 4).select("partition", "lsn", numbers.big_endian(F.col("value"), 0, 4).alias("field"))
+
+
+@query("blocks_by_bytes", ORACLES["roll_by_bytes"].replace("4096", "1024").replace("f.c >= 100", "f.c >= 1000000").replace("AS segment_no", "AS block_no"))
+def _(spark, d):
+    sized = records(spark, d).select("partition", "lsn", ingest.record_size().alias("record_bytes"))
+    return ingest.roll_by_bytes(sized, 1024, out="block_no").groupBy("partition", "block_no").agg(
+        F.min("lsn").alias("base_lsn"), F.max("lsn").alias("last_lsn"), F.sum("record_bytes").alias("raw_bytes"))

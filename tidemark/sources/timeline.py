@@ -1,28 +1,42 @@
 """Spark data source ``timeline``: batch read with pushdown, batch write, stream read.
 
 Options: ``path`` (a folder shared by driver and executors), ``stream``; reading:
-``partitions`` (comma-separated), ``verify`` (check whole segments), ``maxRecordsPerBatch``;
-writing: ``writerId``, ``maxRecords`` per segment, ``codec``.
+``partitions`` (comma-separated), ``verify`` (check whole segments), ``limit`` (no more segments
+of a partition than hold its first so many records; the rows still need a limit),
+``maxRecordsPerBatch``; writing: ``writerId``, ``maxRecords``, ``maxBytes`` and ``maxAgeMs`` per
+segment, ``codec``. Rows come as Arrow batches.
 """
 
+import functools
+import itertools
 import json
+import time
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
+
 from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, Filter,
                                     GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual,
                                     WriterCommitMessage)
 
 from .. import schema as layout
-from .plseg import Record, SegmentOptions, SegmentReader, encode
-from .store import SegmentRef, Store
+from ..errors import CorruptDataError
+from .plseg import Record, SegmentOptions, SegmentReader, encode, record_bytes
+from .pages import INDEX_LIMIT, LEAF_LIMIT, SegmentRef
+from .store import Store
 
 UNBOUNDED = 2**63 - 1
 
 
+BATCH = 4096
+SHAPE = pa.schema([("stream_id", pa.string()), ("partition", pa.int64()), ("lsn", pa.int64()), ("timestamp_ms", pa.int64()),
+                   ("headers", pa.list_(pa.struct([("key", pa.binary()), ("value", pa.binary())]))), ("value", pa.binary())])
+
+
 class _Chunk(InputPartition):
-    def __init__(self, stream, partition, path, size, low, high, ts_low, ts_high, verify):
-        self.stream, self.partition, self.path, self.size = stream, partition, path, size
+    def __init__(self, root, stream, partition, ref, low, high, ts_low=None, ts_high=None, verify=False):
+        self.root, self.stream, self.partition, self.ref = root, stream, partition, ref
         self.low, self.high, self.ts_low, self.ts_high, self.verify = low, high, ts_low, ts_high, verify
 
 
@@ -31,17 +45,52 @@ class _Message(WriterCommitMessage):
         self.refs = refs
 
 
-def _rows(chunk: _Chunk) -> Iterator[tuple]:
-    with open(chunk.path, "rb") as f:
-        def read_at(offset, n):
+@functools.lru_cache(maxsize=64)
+def opened(path: str, ref: SegmentRef) -> SegmentReader:
+    """A segment opened and compared with its reference; a worker keeps the last few."""
+    def read_at(offset, n):
+        with open(path, "rb") as f:
             f.seek(offset)
             return f.read(n)
 
-        reader = SegmentReader(read_at, chunk.size)
-        if chunk.verify:
-            reader.verify()
-        for r in reader.scan(chunk.low, chunk.high, chunk.ts_low, chunk.ts_high):
-            yield (chunk.stream, chunk.partition, r.lsn, r.timestamp_ms, [{"key": k, "value": v} for k, v in r.headers], r.value)
+    reader = SegmentReader(read_at, ref.size_bytes)
+    said = (reader.base_lsn, reader.last_lsn, reader.min_ts, reader.max_ts, reader.record_count, reader.uuid.hex())
+    if said != (ref.base_lsn, ref.last_lsn, ref.min_timestamp_ms, ref.max_timestamp_ms, ref.record_count, ref.segment_uuid):
+        raise CorruptDataError(f"{path} is not the segment its reference names")
+    return reader
+
+
+def _batches(chunk: _Chunk) -> Iterator[pa.RecordBatch]:
+    reader = opened(chunk.ref.uri, chunk.ref)
+    if chunk.verify:
+        reader.verify()
+    found = reader.scan(chunk.low, chunk.high, chunk.ts_low, chunk.ts_high)
+    while rows := list(itertools.islice(found, BATCH)):
+        yield pa.RecordBatch.from_arrays([
+            pa.array([chunk.stream] * len(rows), pa.string()), pa.array([chunk.partition] * len(rows), pa.int64()),
+            pa.array([r.lsn for r in rows], pa.int64()), pa.array([r.timestamp_ms for r in rows], pa.int64()),
+            pa.array([[{"key": k, "value": v} for k, v in r.headers] for r in rows], SHAPE.field("headers").type),
+            pa.array([r.value for r in rows], pa.binary())], schema=SHAPE)
+
+
+def contiguous(refs: list[SegmentRef], low: int, next_lsn: int) -> list[SegmentRef]:
+    """The refs, if they cover [low, next_lsn) without a gap; CorruptDataError otherwise."""
+    at = low
+    for r in refs:
+        if r.base_lsn > at or r.last_lsn < at:
+            raise CorruptDataError(f"no segment holds {at}")
+        at = r.last_lsn + 1
+    if at < next_lsn:
+        raise CorruptDataError(f"no segment holds {at}, the head is at {next_lsn}")
+    return refs
+
+
+def once_more(load, use):
+    """``use(load())``; on contradicting data the head is loaded anew and the read tried once more."""
+    try:
+        return use(load())
+    except CorruptDataError:
+        return use(load())
 
 
 class TimelineReader(DataSourceReader):
@@ -53,6 +102,7 @@ class TimelineReader(DataSourceReader):
         self.wanted = {int(p) for p in named.split(",")} if named else None
         self.low, self.high, self.ts_low, self.ts_high = 0, UNBOUNDED, None, None
         self.verify = options.get("verify", "false") == "true"
+        self.limit = int(options["limit"]) if "limit" in options else None
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
@@ -83,20 +133,30 @@ class TimelineReader(DataSourceReader):
         return False
 
     def partitions(self) -> list[InputPartition]:
-        out = []
-        for p in self.store.partitions():
-            if self.wanted is not None and p not in self.wanted:
-                continue
-            for s in self.store.load(p).segments:
-                if s.last_lsn < self.low or s.base_lsn >= self.high:
-                    continue
-                if self.ts_low is not None and s.max_timestamp_ms < self.ts_low or self.ts_high is not None and s.min_timestamp_ms > self.ts_high:
-                    continue
-                out.append(_Chunk(self.store.stream_id, p, s.uri, s.size_bytes, self.low, self.high, self.ts_low, self.ts_high, self.verify))
+        named = self.wanted if self.wanted is not None else self.store.partitions()
+        found = [once_more(lambda p=p: self.store.load(p), self._chunks) for p in sorted(set(named) & set(self.store.partitions()))]
+        return [c for chunks in found for c in chunks]
+
+    def _chunks(self, head) -> list[_Chunk]:
+        low, high = max(self.low, head.oldest_lsn), min(self.high, head.next_lsn)
+        if low >= high:
+            return []
+        out, held, refs = [], 0, []
+        for s in self.store.segments(head, low, high, self.ts_low):
+            refs.append(s)
+            if self.ts_high is not None and s.min_timestamp_ms > self.ts_high:
+                break
+            out.append(_Chunk(self.store.root, self.store.stream_id, head.partition, s, low, high, self.ts_low, self.ts_high, self.verify))
+            if self.ts_low is None or s.min_timestamp_ms >= self.ts_low:
+                held += min(s.last_lsn + 1, high) - max(s.base_lsn, low)
+            if self.limit is not None and held >= self.limit:
+                break
+        if refs:
+            contiguous(refs, max(low, refs[0].base_lsn) if self.ts_low is not None else low, min(high, refs[-1].last_lsn + 1))
         return out
 
-    def read(self, partition) -> Iterator[tuple]:
-        return _rows(partition) if isinstance(partition, _Chunk) else iter(())
+    def read(self, partition) -> Iterator[pa.RecordBatch]:
+        return _batches(partition) if isinstance(partition, _Chunk) else iter(())
 
 
 class TimelineStreamReader(DataSourceStreamReader):
@@ -129,17 +189,30 @@ class TimelineStreamReader(DataSourceStreamReader):
             self.planned[name] = max(self.planned.get(name, 0), high)
             head = self.store.load(int(name))
             low = start.get(name, head.oldest_lsn)
-            out += [_Chunk(self.store.stream_id, int(name), s.uri, s.size_bytes, low, high, None, None, False)
-                    for s in head.segments if s.last_lsn >= low and s.base_lsn < high]
+            out += [_Chunk(self.store.root, self.store.stream_id, int(name), s, low, high) for s in self.store.segments(head, low, high)]
         return out
 
-    def read(self, partition) -> Iterator[tuple]:
-        return _rows(partition)
+    def read(self, partition) -> Iterator[pa.RecordBatch]:
+        return _batches(partition)
 
     def commit(self, end: dict) -> None:
         pass
 
 
+class RollPolicy:
+    """When a segment ends: by records, by raw bytes or by the age of its first record; the first
+    limit that is reached cuts."""
+
+    def __init__(self, max_records: int = layout.ROLL_RECORDS, max_bytes: int = layout.ROLL_BYTES, max_age_ms: float | None = None):
+        self.max_records, self.max_bytes, self.max_age_ms = max_records, max_bytes, max_age_ms
+
+    def cuts(self, records: int, used: int, next_size: int, age_ms: float = 0.0) -> bool:
+        """Whether a segment with so much in it has to end before a record of ``next_size``."""
+        if not records:
+            return False
+        return records >= self.max_records or used + next_size > self.max_bytes or self.max_age_ms is not None and age_ms >= self.max_age_ms
+
+
 class TimelineWriter(DataSourceWriter):
     """Tasks write segment files; the commit on the driver is one head swap per partition.
 
@@ -150,7 +223,9 @@ class TimelineWriter(DataSourceWriter):
 
     def __init__(self, options: dict):
         self.options = {"path": options["path"], "stream": options["stream"]}
-        self.most = int(options.get("maxRecords", layout.ROLL_RECORDS))
+        self.limits = int(options.get("leafLimit", LEAF_LIMIT)), int(options.get("indexLimit", INDEX_LIMIT))
+        self.roll = RollPolicy(int(options.get("maxRecords", layout.ROLL_RECORDS)), int(options.get("maxBytes", layout.ROLL_BYTES)),
+                               int(options["maxAgeMs"]) if "maxAgeMs" in options else None)
         self.codec = int(options.get("codec", layout.CODEC_ZSTD))
         store = Store(options["path"], options["stream"])
         writer_id = options.get("writerId") or uuid.uuid4().hex
@@ -158,19 +233,26 @@ class TimelineWriter(DataSourceWriter):
         self.sessions = {p: store.open_writer(p, writer_id) for p in targets}
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
-        store, refs, pending, current = Store(self.options["path"], self.options["stream"]), {}, [], None
+        store, refs, pending, current, used, began = Store(self.options["path"], self.options["stream"]), {}, [], None, 0, 0.0
 
         def flush():
+            nonlocal used
             if pending:
                 refs.setdefault(current, []).append(self._segment(store, current, pending, self.codec))
                 pending.clear()
+            used = 0
 
         for row in rows:
-            if row["partition"] != current or len(pending) >= self.most:
+            headers = tuple((bytes(h["key"]), bytes(h["value"] or b"")) for h in row["headers"] or ())
+            record = Record(row["timestamp_ms"], bytes(row["value"] or b""), headers, row["lsn"])
+            size = record_bytes(record)
+            if row["partition"] != current or self.roll.cuts(len(pending), used, size, (time.monotonic() - began) * 1000):
                 flush()
                 current = row["partition"]
-            headers = tuple((bytes(h["key"]), bytes(h["value"] or b"")) for h in row["headers"] or ())
-            pending.append(Record(row["timestamp_ms"], bytes(row["value"] or b""), headers, row["lsn"]))
+            if not pending:
+                began = time.monotonic()
+            pending.append(record)
+            used += size
         flush()
         return _Message(refs)
 
@@ -186,7 +268,7 @@ class TimelineWriter(DataSourceWriter):
         return SegmentRef(path, base, records[-1].lsn, records[0].timestamp_ms, records[-1].timestamp_ms, len(records), len(data), epoch, uid)
 
     def commit(self, messages) -> None:
-        store, gathered = Store(self.options["path"], self.options["stream"]), {}
+        store, gathered = Store(self.options["path"], self.options["stream"], *self.limits), {}
         for m in messages:
             for p, refs in (m.refs if m else {}).items():
                 gathered.setdefault(p, []).extend(refs)
@@ -194,7 +276,15 @@ class TimelineWriter(DataSourceWriter):
             store.publish(self.sessions[p], refs)
 
     def abort(self, messages) -> None:
-        pass  # unreachable files are left to scrubbing
+        """What the finished tasks wrote goes; files of failed tasks are left to scrubbing."""
+        import contextlib
+        import os
+
+        for m in messages:
+            for refs in (m.refs if m else {}).values():
+                for r in refs:
+                    with contextlib.suppress(FileNotFoundError):
+                        os.unlink(r.uri)
 
 
 class TimelineSource(DataSource):
