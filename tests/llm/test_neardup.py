@@ -21,8 +21,10 @@ def close_pairs(n, dim, cosine=0.901):
 def test_longer_substrings_miss_no_more_pairs(bits, dim):
     a, b = close_pairs(3000, dim)
     projection = neardup.directions(np.concatenate([a, b]), bits * neardup.tables_for(bits, 0.9))
-    left, right = (neardup.substrings(x, projection, bits) for x in (a, b))
-    assert (~(left == right).any(axis=1)).mean() <= 0.003
+    codes = [neardup.signs(x, projection) for x in (a, b)]
+    left, right = (neardup.substrings(c, bits) for c in codes)
+    within = (codes[0] != codes[1]).sum(axis=1) <= neardup.radius(projection.shape[1], 0.9)
+    assert (~((left == right).any(axis=1) & within)).mean() <= 0.003
 
 
 def test_table_count():
@@ -43,3 +45,21 @@ def test_few_distinct_vectors_are_compared_whole(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {r["vec_id"]: r["n_links"] for r in neardup.near_duplicates(frame).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("rows", [6_000, 10_000_000])
+def test_retrieval_finds_what_brute_force_finds(spark, rows):
+    """Thousands of vectors, some in one large group, with the tables that so many rows would get."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    a, b = close_pairs(1200, 24, 0.91)
+    group = unit(rng.standard_normal((1, 24)) + 0.05 * rng.standard_normal((600, 24)))
+    x = unit(np.concatenate([a, b, group, rng.standard_normal((3000, 24))]).astype(np.float32).astype(np.float64))
+    near = x @ x.T >= 0.9
+    frame = spark.createDataFrame([(i, v.astype(np.float32).tolist(), 1, 24) for i, v in enumerate(x)], "rep long, embedding array<float>, n int, dim int").repartition(4)
+    y = unit(x.astype(np.float32).astype(np.float64))
+    near = y @ y.T >= 0.9
+    found = neardup.links(frame, rows, 0.9).groupBy("rep").agg(F.sum("links").alias("n")).collect()
+    total, want = sum(r["n"] for r in found), int(near.sum() - len(x))
+    assert all(r["n"] <= near[r["rep"]].sum() - 1 for r in found) and total >= 0.998 * want

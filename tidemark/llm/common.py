@@ -1,6 +1,7 @@
 """What the operators share: materialised tables, word and letter rules, components."""
 
 import atexit
+import itertools
 import shutil
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -158,6 +160,44 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
 
 
+def runs(batches: Iterator[pd.DataFrame], names: list[str]) -> Iterator[pd.DataFrame]:
+    """The groups of two rows or more that have equal ``names``, from batches sorted by these.
+    One group and one batch are held at a time."""
+    held = None
+    for pdf in itertools.chain(batches, [None]):
+        if pdf is None:
+            if held is None or len(held) < 2:
+                return
+            pdf, last = held, True
+        else:
+            pdf, last = pdf if held is None else pd.concat([held, pdf], ignore_index=True), False
+        if not len(pdf):
+            continue
+        change = np.zeros(len(pdf), bool)
+        change[0] = True
+        for name in names:
+            values = pdf[name].to_numpy()
+            change[1:] |= values[1:] != values[:-1]
+        cuts = np.append(np.flatnonzero(change), len(pdf))
+        if not last:
+            held, cuts = pdf.iloc[cuts[-2] :], cuts[:-1]
+        for i in np.flatnonzero(np.diff(cuts) > 1):
+            yield pdf.iloc[cuts[i] : cuts[i + 1]]
+
+
+def gathered(frames: Iterator[pd.DataFrame], rows: int = 10_000) -> Iterator[pd.DataFrame]:
+    """The same rows in fewer frames."""
+    held, n = [], 0
+    for frame in frames:
+        held.append(frame)
+        n += len(frame)
+        if n >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held, n = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def let(value: Column, f) -> Column:
     """``f(value)``, with the value computed once however often ``f`` uses it."""
     return F.element_at(F.transform(F.array(value), f), 1)

@@ -7,20 +7,23 @@
 3. The codes, one after the other, are cut into substrings of ``bits`` bits, growing with the
    logarithm of the table; rows that agree on a substring meet in that table's bucket. There are
    as many substrings as keep the chance of a miss under ``MISS``; where the learnt codes are too
-   short for that, random directions lengthen them.
-4. A bucket is reranked with the original vectors in double precision. A pair counts in the
-   first table that brings it together, so counts add up; what leaves a bucket is a sum for
-   each vector and a spanning forest, never the pairs. Buckets over ``BLOCK`` rows are split
-   into blocks, every two of which are one group. A dimension of up to ``BLOCK`` distinct
-   vectors is one bucket, so nothing is missed there.
+   short for that, random directions lengthen them. What travels to the tables is the code.
+4. Inside a bucket two rows are candidates if their whole codes are within a Hamming radius that
+   a pair at the threshold exceeds with a chance of about ``FAR``, and if no earlier table has
+   brought them together. Rows without a candidate go no further; the vectors of the others
+   join their buckets.
+5. There candidates are reranked with the original vectors in double precision; what leaves a
+   bucket is a sum for each vector and a spanning forest, never the pairs. Buckets over ``BLOCK``
+   rows are split into blocks, every two of which are one group. A dimension of up to ``BLOCK``
+   distinct vectors is one bucket without codes, so nothing is missed there.
 
 Two vectors at cosine 0.9 differ in a bit with probability 0.144: 24 tables of 8-bit substrings,
 56 of 13 bits or 92 of 16 bits miss a pair about once in 3,000, and less often above. Found pairs
 are exact.
 
 Defined cases: null, empty, zero and non-finite vectors and null ids link with nothing;
-vectors of different dimension never link; rows that repeat are links of each other; an empty
-table gives an empty result; extra columns are ignored.
+vectors of different dimension never link; rows that repeat are links of each other; a cosine
+equal to the threshold links; an empty table gives an empty result; extra columns are ignored.
 """
 
 import math
@@ -30,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise
+from .common import connected_components, gathered, materialise, runs
 from .vectors import matrix, sample, unit, usable
 
 THRESHOLD = 0.9
@@ -40,6 +43,7 @@ SAMPLE_ROWS = 8_000
 BLOCK = 2048
 STEPS = 30
 MISS = 1 / 3000
+FAR = 1e-5
 ENTRIES = 1 << 18
 
 
@@ -71,10 +75,40 @@ def directions(x: np.ndarray, length: int) -> np.ndarray:
     return np.concatenate(out, 1)[:, :length]
 
 
-def substrings(x: np.ndarray, projection: np.ndarray, bits: int) -> np.ndarray:
+def signs(x: np.ndarray, projection: np.ndarray) -> np.ndarray:
+    """The code of each row, a bit per direction."""
+    return x @ projection >= 0
+
+
+def substrings(code: np.ndarray, bits: int) -> np.ndarray:
     """One column per table: the substring of the code."""
-    signs = (x @ projection >= 0).reshape(len(x), -1, bits)
-    return signs @ (1 << np.arange(bits, dtype=np.int64))
+    return code.reshape(len(code), -1, bits) @ (1 << np.arange(bits, dtype=np.int64))
+
+
+def radius(length: int, threshold: float) -> int:
+    """The Hamming distance of codes that a pair at the threshold exceeds with a chance of FAR,
+    bits being independent (directions at right angles differ less)."""
+    p = math.acos(min(max(threshold, 0.0), 1.0)) / math.pi
+    return math.ceil(length * p + math.sqrt(2 * length * p * (1 - p) * -math.log(FAR)))
+
+
+def _unpacked(blobs, length: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), -1), axis=1, count=length)
+
+
+def _candidates(packed: np.ndarray, keys: np.ndarray, table: int, rows: np.ndarray, right: np.ndarray, same: bool, most: int):
+    """Pairs (i, j) of rows of ``rows`` and ``right`` within ``most`` bits that no earlier table has."""
+    near = np.bitwise_count(packed[rows, None] ^ packed[right]).sum(axis=2, dtype=np.int32) <= most
+    i, j = np.nonzero(near)
+    i, j = rows[i], right[j]
+    i, j = (i[i < j], j[i < j]) if same else (i, j)
+    if table and len(i):
+        new = np.ones(len(i), bool)
+        for at in range(0, len(i), 1 << 18):
+            part = slice(at, at + (1 << 18))
+            new[part] = ~(keys[i[part], :table] == keys[j[part], :table]).any(axis=1)
+        i, j = i[new], j[new]
+    return i, j
 
 
 def links(classes: DataFrame, rows: int, threshold: float) -> DataFrame:
@@ -82,54 +116,81 @@ def links(classes: DataFrame, rows: int, threshold: float) -> DataFrame:
     vectors, and forest edges to ``other``, which is null on rows that only count."""
     spark = classes.sparkSession
     bits = int(min(max(math.log2(max(rows, 2)) - 7, 8), 16))
-    length = bits * tables_for(bits, threshold)
-    models = {}
-    for r in classes.groupBy("dim").count().collect():
+    tables = tables_for(bits, threshold)
+    length = bits * tables
+    models, small = {}, []
+    for r in classes.groupBy("dim").count().collect():  # a row per dimension
         if r["count"] > BLOCK:
             x = sample(classes.where(F.col("dim") == r["dim"]), SAMPLE_ROWS, "rep").toPandas()["embedding"]
             models[r["dim"]] = directions(unit(matrix(x)), length)
+        else:
+            small.append(r["dim"])
     shared = spark.sparkContext.broadcast(models)
+    most, width = radius(length, threshold), -(-length // 64) * 8
 
-    def keyed(batches):
+    def coded(batches):
         for pdf in batches:
             for dim, part in pdf.groupby("dim"):
-                step = max(ENTRIES * bits // length, 1)
+                step = max(ENTRIES // tables, 1)
                 for at in range(0, len(part), step):
-                    yield keys_of(dim, part[at : at + step])
-
-    def keys_of(dim, part):
-        x = matrix(part["embedding"])
-        keys = substrings(unit(x), shared.value[dim], bits) if dim in shared.value else np.zeros((len(x), 1), np.int64)
-        tables = keys.shape[1]
-        return pd.DataFrame({
-            "dim": dim, "tab": np.tile(np.arange(tables), len(part)), "key": keys.ravel(), "rep": np.repeat(part["rep"].to_numpy(), tables),
-            "n": np.repeat(part["n"].to_numpy(), tables), "code": np.repeat(np.array([k.tobytes() for k in keys.astype(np.uint16)], object), tables),
-            "vec": np.repeat(np.array([v.tobytes() for v in x], object), tables)})
-
-    entries = classes.mapInPandas(keyed, "dim int, tab long, key long, rep long, n long, code binary, vec binary")
+                    yield entries_of(dim, part[at : at + step])
+
+    def entries_of(dim, part):
+        code = signs(unit(matrix(part["embedding"])), shared.value[dim])
+        keys = substrings(code, bits)
+        blobs = np.array([x.tobytes().ljust(width, b"\0") for x in np.packbits(code, axis=1)], object)
+        return pd.DataFrame({"dim": dim, "tab": np.tile(np.arange(tables), len(part)), "key": keys.ravel(), "rep": np.repeat(part["rep"].to_numpy(), tables),
+                             "code": np.repeat(blobs, tables)})
+
+    def members(pdf: pd.DataFrame) -> pd.DataFrame:
+        same, table, hit = pdf["b1"].iat[0] == pdf["b2"].iat[0], int(pdf["tab"].iat[0]), np.zeros(len(pdf), bool)
+        packed = np.frombuffer(b"".join(pdf["code"]), np.uint64).reshape(len(pdf), -1)
+        keys = substrings(_unpacked(pdf["code"], length), bits).astype(np.uint16) if table else None
+        left = np.flatnonzero(pdf["mine"].to_numpy() == pdf["b1"].to_numpy())
+        right = left if same else np.flatnonzero(pdf["mine"].to_numpy() == pdf["b2"].to_numpy())
+        step = max((1 << 19) // max(len(right), 1) // (width // 8) + 1, 1)
+        for at in range(0, len(left), step):
+            i, j = _candidates(packed, keys, table, left[at : at + step], right, same, most)
+            hit[i] = hit[j] = True
+        return pdf.loc[hit, ["dim", "tab", "key", "b1", "b2", "mine", "rep", "code"]]
+
     bucket = ["dim", "tab", "key"]
+    group = [*bucket, "b1", "b2"]
+    entries = classes.where(F.col("dim").isin(list(models))).select("dim", "rep", "embedding").mapInPandas(coded, "dim int, tab int, key int, rep long, code binary")
     sizes = entries.groupBy(bucket).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
     spread = entries.join(sizes, bucket, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.withColumn("b1", F.least("mine", "other")).withColumn("b2", F.greatest("mine", "other"))
+    spread = spread.select("dim", "tab", "key", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"), "mine", "rep", "code")
+    met = spread.repartition(*group).sortWithinPartitions(*group)
+    found = met.mapInPandas(lambda batches: gathered(map(members, runs(batches, group))), "dim int, tab int, key int, b1 int, b2 int, mine int, rep long, code binary")
+    alone = classes.where(F.col("dim").isin(small)).select(
+        "dim", F.lit(0).alias("tab"), F.lit(0).alias("key"), F.lit(0).alias("b1"), F.lit(0).alias("b2"), F.lit(0).alias("mine"), "rep", F.lit(None).cast("binary").alias("code"))
+    chosen = materialise(found.unionByName(alone), "candidates").join(classes.select("rep", "n", F.col("embedding").alias("vec")), "rep")
 
     def rerank(pdf: pd.DataFrame) -> pd.DataFrame:
-        same = pdf["b1"].iat[0] == pdf["b2"].iat[0]
-        table, reps, n = int(pdf["tab"].iat[0]), pdf["rep"].to_numpy(), pdf["n"].to_numpy()
-        x = unit(np.frombuffer(b"".join(pdf["vec"]), np.float64).reshape(len(pdf), -1))
-        codes = np.frombuffer(b"".join(pdf["code"]), np.uint16).reshape(len(pdf), -1)
+        same, table = pdf["b1"].iat[0] == pdf["b2"].iat[0], int(pdf["tab"].iat[0])
+        reps, n, x = pdf["rep"].to_numpy(), pdf["n"].to_numpy(), unit(matrix(pdf["vec"]))
+        coded = pdf["code"].iat[0] is not None
+        packed = np.frombuffer(b"".join(pdf["code"]), np.uint64).reshape(len(pdf), -1) if coded else None
+        keys = substrings(_unpacked(pdf["code"], length), bits).astype(np.uint16) if coded and table else None
         left = np.flatnonzero(pdf["mine"].to_numpy() == pdf["b1"].to_numpy())
         right = left if same else np.flatnonzero(pdf["mine"].to_numpy() == pdf["b2"].to_numpy())
         counts, label = np.zeros(len(pdf), np.int64), np.arange(len(pdf))
-        pairs = []
-        for at in range(0, len(left), 512):
-            rows = left[at : at + 512]
-            i, j = np.nonzero(x[rows] @ x[right].T >= threshold)
-            i, j = rows[i], right[j]
-            i, j = (i[i < j], j[i < j]) if same else (i, j)
-            if table and len(i):
-                new = ~(codes[i, :table] == codes[j, :table]).any(axis=1)
-                i, j = i[new], j[new]
+        pairs, step = [], max((1 << 19) // max(len(right), 1) // (width // 8) + 1, 1)
+        for at in range(0, len(left), step):
+            some = left[at : at + step]
+            if coded:
+                i, j = _candidates(packed, keys, table, some, right, same, most)
+            else:
+                i, j = np.nonzero(some[:, None] < right)
+                i, j = some[i], right[j]
+            if len(i) * 8 > len(some) * len(right):
+                place, column = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
+                place[some], column[right] = np.arange(len(some)), np.arange(len(right))
+                near = (x[some] @ x[right].T)[place[i], column[j]] >= threshold
+            else:
+                near = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
+            i, j = i[near], j[near]
             counts += np.bincount(i, n[j], len(pdf)).astype(np.int64) + np.bincount(j, n[i], len(pdf)).astype(np.int64)
             pairs.append((i, j))
         i, j = (np.concatenate(p) for p in zip(*pairs)) if pairs else (np.empty(0, int),) * 2
@@ -147,7 +208,8 @@ def links(classes: DataFrame, rows: int, threshold: float) -> DataFrame:
         out = pd.DataFrame({"rep": reps[hit], "links": counts[hit], "other": reps[label[hit]]})
         return out.astype({"other": "Int64"})
 
-    return spread.groupBy(*bucket, "b1", "b2").applyInPandas(rerank, "rep long, links long, other long")
+    met = chosen.repartition(*group).sortWithinPartitions(*group)
+    return met.mapInPandas(lambda batches: gathered(map(rerank, runs(batches, group))), "rep long, links long, other long")
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
