@@ -5,8 +5,12 @@ cut in two. A vector goes to its nearest list and, if it lies near a boundary, t
 ``REPLICAS`` lists whose centroid is almost as near. Queries search the centroids through an
 in-memory neighbour graph (best-first, with a candidate pool) and read the lists whose distance
 is within ``RATIO`` of the nearest. Posting lists that are still long, such as those of a very
-common vector, are cut into parts, each read by its own task. Scores come from the original
-vectors in double precision.
+common vector, are cut into parts, and lists and parts are dealt to as many groups as hold about
+``GROUP_ROWS`` postings each. Scores come from the original vectors in double precision, summed
+in the same order for every pair, so equal vectors score alike wherever they stand.
+
+There is a list for ``LIST_ROWS`` rows, up to ``MAX_LISTS``; beyond, lists grow. Centroids are fitted
+on ``SAMPLE_ROWS`` rows or ``SAMPLE_A_LIST`` a list, whichever is more.
 
 Every row is indexed, but of equal vectors only the k + 1 smallest ids can ever be results, so
 only those are. Measured recall is in the README; ``RATIO`` trades it against lists read.
@@ -28,13 +32,22 @@ from .vectors import matrix, sample, unit, usable
 
 SAMPLE_ROWS = 10_000
 LIST_ROWS = 256
-MAX_LISTS = 4096
+MAX_LISTS = 16_384
+SAMPLE_A_LIST = 4
 REPLICAS = 4
 BOUNDARY = 1.05
 RATIO = 1.25
 GRAPH_DEGREE = 24
 PART_ROWS = 4096
 GROUPS = 64
+GROUP_ROWS = 20_000
+CELLS = 1 << 20
+
+
+def _parts(x: np.ndarray, columns: int) -> list[np.ndarray]:
+    """Rows in parts whose product with so many columns stays small."""
+    step = max(1, CELLS // max(columns, 1))
+    return [x[at : at + step] for at in range(0, len(x), step)]
 
 
 def kmeans(x: np.ndarray, k: int, seed: int = 0, steps: int = 10) -> np.ndarray:
@@ -43,7 +56,7 @@ def kmeans(x: np.ndarray, k: int, seed: int = 0, steps: int = 10) -> np.ndarray:
     k = min(k, len(x))
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for step in range(steps):
-        own = (x @ c.T).argmax(1)
+        own = np.concatenate([(part @ c.T).argmax(1) for part in _parts(x, k)])
         size = np.bincount(own, minlength=k)
         sums = np.zeros_like(c)
         np.add.at(sums, own, x)
@@ -61,7 +74,7 @@ class CentroidGraph:
 
     def __init__(self, centroids: np.ndarray):
         self.c = centroids
-        near = np.argsort(-(centroids @ centroids.T), axis=1, kind="stable")[:, 1 : GRAPH_DEGREE + 1]
+        near = np.concatenate([np.argsort(-(part @ centroids.T), axis=1, kind="stable")[:, 1 : GRAPH_DEGREE + 1] for part in _parts(centroids, len(centroids))])
         links = [set(row) for row in near.tolist()]
         for i, row in enumerate(near.tolist()):
             for j in row:
@@ -99,23 +112,27 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 5, ratio: float =
     rows = embeddings.where(fit).select("vec_id", "embedding", F.size("embedding").alias("dim"))
     order = Window.partitionBy("embedding").orderBy("vec_id")
     rows = materialise(rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1).drop("_r"), "vectors")
-    models, n_lists = {}, {}
-    for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect():
-        x = unit(matrix(sample(rows.where(F.col("dim") == r["dim"]), SAMPLE_ROWS).toPandas()["embedding"]))
-        models[r["dim"]] = CentroidGraph(kmeans(x, max(1, min(MAX_LISTS, r["n"] // LIST_ROWS))))
+    models, total = {}, 0
+    for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect():  # a row per dimension
+        lists = max(1, min(MAX_LISTS, r["n"] // LIST_ROWS))
+        x = unit(matrix(sample(rows.where(F.col("dim") == r["dim"]), max(SAMPLE_ROWS, SAMPLE_A_LIST * lists)).toPandas()["embedding"]))
+        models[r["dim"]], total = CentroidGraph(kmeans(x, lists)), total + r["n"]
+    groups = max(GROUPS, total // GROUP_ROWS)
     shared = spark.sparkContext.broadcast(models)
 
     def post(batches):
         for pdf in batches:
             for dim, part in pdf.groupby("dim"):
-                x = matrix(part["embedding"])
-                d = np.sqrt(np.maximum(0.0, 2 - 2 * (unit(x) @ shared.value[dim].c.T)))
-                top = min(REPLICAS, d.shape[1])
-                near = np.argpartition(d, top - 1, axis=1)[:, :top]
-                dist = np.take_along_axis(d, near, 1)
-                i, j = np.nonzero(dist <= BOUNDARY * dist.min(1, keepdims=True))
-                vec = np.array([v.tobytes() for v in x], object)
-                yield pd.DataFrame({"dim": dim, "list": near[i, j], "vec_id": part["vec_id"].to_numpy()[i], "vec": vec[i]})
+                ids, x, at = part["vec_id"].to_numpy(), matrix(part["embedding"]), 0
+                for some in _parts(x, len(shared.value[dim].c)):
+                    d = np.sqrt(np.maximum(0.0, 2 - 2 * (unit(some) @ shared.value[dim].c.T)))
+                    top = min(REPLICAS, d.shape[1])
+                    near = np.argpartition(d, top - 1, axis=1)[:, :top]
+                    dist = np.take_along_axis(d, near, 1)
+                    i, j = np.nonzero(dist <= BOUNDARY * dist.min(1, keepdims=True))
+                    vec = np.array([v.tobytes() for v in some], object)
+                    yield pd.DataFrame({"dim": dim, "list": near[i, j], "vec_id": ids[at + i], "vec": vec[i]})
+                    at += len(some)
 
     def ask(batches):
         for pdf in batches:
@@ -134,7 +151,7 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 5, ratio: float =
     parts = posted.groupBy("dim", "list").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("long").alias("parts"))  # a row per list
     posted = posted.join(F.broadcast(parts), ["dim", "list"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts"))
     asked = asked.join(F.broadcast(parts), ["dim", "list"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    group = F.pmod(F.xxhash64("list", "part"), F.lit(GROUPS)).alias("g")
+    group = F.pmod(F.xxhash64("list", "part"), F.lit(groups)).alias("g")
 
     def best(key, postings: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         out, lists = [], dict(tuple(postings.groupby(["list", "part"])))
@@ -148,10 +165,10 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 5, ratio: float =
             s = x @ y.T
             s[own[:, None] == ids[None, :]] = -np.inf
             top = min(k, len(p))
-            # everything at least as near as the k-th, so that ties are settled by id
+            # everything about as near as the k-th, so that ties are settled by id
             cut = np.partition(s, -top, axis=1)[:, -top]
-            i, j = np.nonzero((s >= cut[:, None]) & np.isfinite(s))
-            out.append(pd.DataFrame({"query_id": own[i], "vec_id": ids[j], "score": s[i, j]}))
+            i, j = np.nonzero((s >= cut[:, None] - 1e-9) & np.isfinite(s))
+            out.append(pd.DataFrame({"query_id": own[i], "vec_id": ids[j], "score": (x[i] * y[j]).sum(axis=1)}))
         if not out:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
         found = pd.concat(out).drop_duplicates(["query_id", "vec_id"]).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
@@ -160,7 +177,7 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 5, ratio: float =
     near = (posted.select(group, "dim", "list", "part", "vec_id", "vec").groupBy("g", "dim")
             .cogroup(asked.select(group, "dim", "list", "part", "query_id", "vec").groupBy("g", "dim"))
             .applyInPandas(best, "query_id long, vec_id long, score double"))
-    # a copy in another list can differ in the last digit; one row per pair is enough
+    # a copy of the pair from another list scores the same; one row per pair is enough
     once = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
