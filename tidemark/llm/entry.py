@@ -5,8 +5,7 @@ from pyspark.sql import functions as F
 
 from . import ann, chat, jaccard, langid, mixing, neardup, packing, secrets, substrings, toxicity
 from .common import table
-
-ORACLES: dict[str, str] = {}
+from .oracles import ORACLES  # noqa: F401
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
