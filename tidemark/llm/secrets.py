@@ -3,21 +3,24 @@ ordinary identifiers compared by log-likelihood ratio. DataFrame functions only.
 
 The models are first-order chains over ASCII; a pair scores its first character's share times
 the transition, so that the few unlabelled secrets among the ordinary tokens, which own most
-of the rare contexts there, do not hide others. Random strings are learnt from the values that
-the fixed patterns find, ordinary identifiers from all other long tokens, both in a bounded
-sample of documents (``SAMPLE_DOCS``, the smallest id hashes); pair counts back off to
-single characters with a weight of ``BACKOFF`` observations.
+of the rare contexts there, do not hide others. They learn from a labelled sample (``labelled``):
+random strings are ``MADE`` digests written in each of four alphabets, and the values that the
+fixed patterns find; ordinary identifiers are all other long tokens, these two in a bounded
+sample of documents (``SAMPLE_DOCS``, the smallest id hashes). Pair counts back off to single
+characters with a weight of ``BACKOFF`` observations.
 A token of ``MIN_TOKEN`` or more characters is a finding when its mean ratio per pair is at
 least ``MIN_MEAN`` nats, or ``MIN_MEAN_PLAIN`` if it has no digit, and it does not overlap a
 pattern's span.
 
 Defined cases: a null text counts as empty; an empty table gives an empty result; repeated
-rows are scanned each; positions are code points, ends exclusive.
+rows are scanned each; spans that begin together stand in the order of their kinds; time grows
+with the number of matches in a text, not with its square; extra columns pass through, ``scan``
+replacing those named like its results; positions are code points, ends exclusive.
 """
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import let
@@ -33,6 +36,7 @@ TOKEN = r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,}"
 ANY_BASE = "|".join(f"(?:{p})" for _, p, _, _ in PATTERNS)
 KIND_ORDER = {"assign": 0, "access": 1, "hex": 2, "random": 3}
 SAMPLE_DOCS = 4000
+MADE = 2000
 MIN_TOKEN = 20
 MIN_MEAN = 0.5
 MIN_MEAN_PLAIN = 1.0
@@ -100,14 +104,34 @@ def _pairs(token: Column) -> Column:
     return F.zip_with(F.slice(codes, F.lit(1), n - 1), F.slice(codes, F.lit(2), n - 1), lambda a, b: a * 128 + b)
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float]:
-    """Log ratio of each ASCII pair under the two models; 128 * 128 numbers."""
+def made(spark: SparkSession, n: int = MADE, seed: int = 0) -> DataFrame:
+    """Random strings, ``n`` in each alphabet: lower-case hex, upper case with digits, Base64, and
+    the same without its two signs."""
+    digest = F.sha2(F.concat_ws("-", F.lit("sample"), F.lit(seed), "id").cast("binary"), 256)
+    upper = F.concat(*[F.lpad(F.conv(F.substring(digest, at, 12), 16, 36), 9, "0") for at in (1, 13, 25, 37)])
+    base64 = F.substring(F.base64(F.unhex(digest)), 1, 42)
+    return spark.range(n).select(F.explode(F.array(F.substring(digest, 1, 40), F.substring(upper, 1, 36), base64, F.translate(base64, "+/", ""))).alias("t"), F.lit(1).alias("random"))
+
+
+def labelled(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """The labelled sample: tokens ``t``, ``random`` 1 or 0."""
     ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id", "left_semi")
-    values = F.concat(*[F.filter(F.regexp_extract_all("text", F.lit(p), F.lit(g)), lambda v, n=least: F.length(v) >= n) for _, p, g, least in PATTERNS])
+    enough = lambda least: lambda v: F.length(v) >= least
+    values = F.concat(*[F.filter(F.regexp_extract_all("text", F.lit(p), F.lit(g)), enough(least)) for _, p, g, least in PATTERNS])
     plain = F.regexp_extract_all(F.regexp_replace("text", ANY_BASE, " "), F.lit(r"[A-Za-z0-9_+/=-]{8,}"), F.lit(0))
     tokens = sample.select(F.explode(F.array(F.struct(F.lit(1).alias("random"), values.alias("t")), F.struct(F.lit(0).alias("random"), plain.alias("t")))).alias("x"))
-    counts = (tokens.select("x.random", F.explode("x.t").alias("t")).select("random", F.explode(_pairs(F.col("t"))).alias("pair"))
+    return tokens.select(F.explode("x.t").alias("t"), "x.random").unionByName(made(docs.sparkSession))
+
+
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float]:
+    """Log ratio of each ASCII pair under the two models; 128 * 128 numbers."""
+    return fit(labelled(docs, sample_docs))
+
+
+def fit(sample: DataFrame) -> list[float]:
+    """The same from a labelled sample (t, random)."""
+    counts = (sample.select("random", F.explode(_pairs(F.col("t"))).alias("pair"))
               .groupBy("random", "pair").agg(F.count(F.lit(1)).alias("n")).collect())  # at most 2 * 128 * 128 rows
     seen = {(r["random"], r["pair"]): r["n"] for r in counts}
     alphabet = [c for c in range(128) if chr(c).isalnum() or chr(c) in "_+/=-"]
