@@ -90,7 +90,7 @@ class Tokens:
         if got is None:
             if len(self.words) > WORDS_KEPT:
                 self.words.clear()
-            found = self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(BYTE_NAMES))
+            found = self.tokenizer.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_NAMES))
             got = self.words[word] = array.array("I", [t.id for t in found]).tobytes()
         return got
 
@@ -110,10 +110,8 @@ class Tokens:
         cuts, data = [-1, *np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)], ids.tobytes()
         return [data[4 * a + 4 : 4 * b] for a, b in zip(cuts, cuts[1:])]
 
-    def _add(self, chunks: list[str]) -> None:
-        if self.size > CACHE_BYTES:
-            self.old, self.cache, self.size = self.cache, {}, 0
-        missing, new, old = {c for c in chunks if c not in self.cache}, [], self.old
+    def _add(self, missing: set[str]) -> None:
+        new, old = [], self.old
         for c in missing:
             ids = old.get(c)
             if ids is None:
@@ -126,11 +124,11 @@ class Tokens:
     def encode(self, text: str) -> np.ndarray:
         if MARK in text or len(self.mark) != 1 or "<|" in text and any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        if self.size > CACHE_BYTES:
+            self.old, self.cache, self.size = self.cache, {}, 0
         chunks = text.replace("\n", " ").split(" ")
-        try:
-            return np.frombuffer(b"".join(map(self.cache.__getitem__, chunks)), "<u4")
-        except KeyError:
-            self._add(chunks)
+        if missing := set(chunks).difference(self.cache):
+            self._add(missing)
         return np.frombuffer(b"".join(map(self.cache.__getitem__, chunks)), "<u4")
 
 
