@@ -139,3 +139,9 @@ def test_reference_automata(spark):
     frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     got = substrings.remove_reference(frame, spark.createDataFrame([(r,) for r in reference], "text string"), 6)
     assert [r["text"] for r in got.orderBy("doc_id").collect()] == want
+
+
+def test_windows_are_equal_only_with_both_hashes():
+    key, more = np.array([7, 7, 7, 9, 7], np.uint64), np.array([1, 2, 1, 1, 1], np.uint16)
+    later = substrings._later(key, more, np.array([4, 1, 3, 2, 3]), np.array([0, 0, 5, 0, 5]))
+    assert later.tolist() == [True, False, False, False, False]

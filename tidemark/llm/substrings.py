@@ -7,10 +7,11 @@ threshold the matched span goes.
 ``remove_repeats`` dedups a corpus against itself. There the reference is the whole corpus, and
 streaming every document past an automaton of every shard grows with its square (README has the
 figures), so the matching statistic is cut at the threshold: a window of ``words`` words is
-matched iff its fingerprint has an earlier owner. Fingerprints (64 bits of a rolling hash over
-64-bit word hashes) are packed per batch of documents and dealt by their own value; a shard
+matched iff its fingerprint has an earlier owner. Fingerprints (two rolling hashes over 64-bit
+word hashes: one whole, 16 bits of the other, and further bits of that as the shard's number, some
+86 bits at 30 GB; false matches are one in 10 million such runs) are packed per batch of documents and dealt by their own value; a shard
 sorts its share, keeps the first (doc_id, start) of each and sends the other windows back to the
-batch they came from, where they merge into spans. One shuffle of 8 to 9 bytes a word, no group
+batch they came from, where they merge into spans. One shuffle of 10 to 11 bytes a word, no group
 larger than a shard, and a passage in a third of all documents is only repeated numbers there.
 
 Defined cases: null texts have no words; texts shorter than a window lose nothing; windows that
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, materialise, partitions_for, word_hashes
+from .common import gram_hashes, materialise, mix, partitions_for, word_hashes
 
 WORDS = 20
 PARTS = 64
@@ -134,26 +135,46 @@ def remove_reference(docs: DataFrame, reference: DataFrame, words: int = WORDS)
     return docs.mapInPandas(run, docs.schema)
 
 
+def _prints(words: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each run of n words that don't follow from each other."""
+    hashes = word_hashes(words)
+    return gram_hashes(hashes, n), gram_hashes(mix(hashes + np.uint64(0x9E3779B97F4A7C15)), n)
+
+
+def _later(key: np.ndarray, more: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Marks windows whose print (key, more) another one with a smaller (doc, start) has."""
+    order = np.argsort(key)
+    same = np.r_[False, key[order][1:] == key[order][:-1]]
+    rows = order[same | np.r_[same[1:], False]]
+    rows = rows[np.lexsort((start[rows], doc[rows], more[rows], key[rows]))]
+    later = np.zeros(len(key), bool)
+    if len(rows):
+        head = np.flatnonzero(np.r_[True, (key[rows][1:] != key[rows][:-1]) | (more[rows][1:] != more[rows][:-1])])
+        owner = np.repeat(rows[head], np.diff(np.r_[head, len(rows)]))
+        later[rows] = (doc[rows] != doc[owner]) | (start[rows] != start[owner])
+    return later
+
+
 def _later_windows(docs: DataFrame, words: int, parts: int) -> DataFrame:
     """(doc_id, print, spans): the spans to remove of each document that has any."""
 
     def emit(batches):
         task = TaskContext.get().partitionId()
         for number, pdf in enumerate(batches):
-            ids, prints, ks, starts, docs_in = [], [], [], [], []
+            ids, prints, ks, others, docs_in = [], [], [], [], []
             for i, (doc_id, p, text) in enumerate(zip(pdf["doc_id"], pdf["print"], pdf["text"])):
                 ids.append(LAST if pd.isna(doc_id) else int(doc_id))
                 prints.append(0 if pd.isna(p) else int(p))
                 if text is not None and not pd.isna(text):
-                    grams = gram_hashes(word_hashes(text.encode("utf-8", "surrogatepass").split()), words)
+                    grams, second = _prints(text.encode("utf-8", "surrogatepass").split(), words)
                     if len(grams):
                         ks.append(grams)
-                        starts.append(np.arange(len(grams), dtype=np.int64))
+                        others.append(second)
                         docs_in.append(np.full(len(grams), i, np.int32))
             if not ks:
                 continue
-            k, start, doc = np.concatenate(ks), np.concatenate(starts), np.concatenate(docs_in)
-            part = (k % np.uint64(parts)).astype(np.uint16)
+            k, other = np.concatenate(ks), np.concatenate(others)
+            more, part = other.astype("<u2"), ((other >> np.uint64(16)) % np.uint64(parts)).astype(np.uint32)
             order = np.argsort(part, kind="stable")
             bounds = np.searchsorted(part[order], np.arange(parts + 1))
             origin, names = f"{task}-{number}", zlib.compress(json.dumps([ids, prints]).encode(), 1)
@@ -164,12 +185,13 @@ def _later_windows(docs: DataFrame, words: int, parts: int) -> DataFrame:
                     line = np.diff(rows, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4)
                     lengths = zlib.compress(np.array([len(x) for x in ks], "<u4").tobytes() + np.array([x[0] for x in docs_in], "<u4").tobytes(), 1)
                     yield pd.DataFrame({"part": [p], "origin": [origin], "names": [names], "lengths": [lengths],
-                                        "keys": [k[rows].astype("<u8").tobytes()], "line": [zlib.compress(np.ascontiguousarray(line.T).tobytes(), 1)]})
+                                        "keys": [k[rows].astype("<u8").tobytes()], "more": [more[rows].tobytes()], "line": [zlib.compress(np.ascontiguousarray(line.T).tobytes(), 1)]})
 
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        ks, ids, starts, lines, sizes = [], [], [], [], []
-        for names, lengths, blob, line in zip(pdf["names"], pdf["lengths"], pdf["keys"], pdf["line"]):
+        ks, others, ids, starts, lines, sizes = [], [], [], [], [], []
+        for names, lengths, blob, more, line in zip(pdf["names"], pdf["lengths"], pdf["keys"], pdf["more"], pdf["line"]):
             ks.append(np.frombuffer(blob, "<u8"))
+            others.append(np.frombuffer(more, "<u2"))
             rows = np.ascontiguousarray(np.frombuffer(zlib.decompress(line), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64).cumsum()
             size, who = np.frombuffer(zlib.decompress(lengths), "<u4").reshape(2, -1).astype(np.int64)
             first = np.r_[0, size.cumsum()]
@@ -178,16 +200,7 @@ def _later_windows(docs: DataFrame, words: int, parts: int) -> DataFrame:
             starts.append(rows - first[at])
             lines.append(rows)
             sizes.append(len(rows))
-        k, doc, start = np.concatenate(ks), np.concatenate(ids), np.concatenate(starts)
-        order = np.argsort(k)
-        same = np.r_[False, k[order][1:] == k[order][:-1]]
-        rows = order[same | np.r_[same[1:], False]]
-        rows = rows[np.lexsort((start[rows], doc[rows], k[rows]))]
-        later = np.zeros(len(k), bool)
-        if len(rows):
-            head = np.flatnonzero(np.r_[True, k[rows][1:] != k[rows][:-1]])
-            owner = np.repeat(rows[head], np.diff(np.r_[head, len(rows)]))
-            later[rows] = (doc[rows] != doc[owner]) | (start[rows] != start[owner])
+        later = _later(np.concatenate(ks), np.concatenate(others), np.concatenate(ids), np.concatenate(starts))
         out, at = [], 0
         for origin, names, lengths, line, n in zip(pdf["origin"], pdf["names"], pdf["lengths"], lines, sizes):
             gone = line[later[at : at + n]]
@@ -211,7 +224,7 @@ def _later_windows(docs: DataFrame, words: int, parts: int) -> DataFrame:
                 out.append((None if ids[who[i]] == LAST else ids[who[i]], prints[who[i]], np.stack([begin, end]).astype("<i8").tobytes()))
         return pd.DataFrame(out, columns=["doc_id", "print", "spans"]).astype({"doc_id": "Int64"})
 
-    blobs = docs.mapInPandas(emit, "part int, origin string, names binary, lengths binary, keys binary, line binary")
+    blobs = docs.mapInPandas(emit, "part int, origin string, names binary, lengths binary, keys binary, more binary, line binary")
     later = blobs.groupBy("part").applyInPandas(shard, "origin string, names binary, lengths binary, line binary")
     return later.groupBy("origin").applyInPandas(merge, "doc_id long, print long, spans binary")
 
