@@ -145,3 +145,30 @@ def test_windows_are_equal_only_with_both_hashes():
     key, more = np.array([7, 7, 7, 9, 7], np.uint64), np.array([1, 2, 1, 1, 1], np.uint16)
     later = substrings._later(key, more, np.array([4, 1, 3, 2, 3]), np.array([0, 0, 5, 0, 5]))
     assert later.tolist() == [True, False, False, False, False]
+
+
+def test_a_passage_in_many_batches(spark):
+    """Documents that share a passage, in batches of a few rows, with repeated rows across them."""
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(30)]
+    docs = [(500 - i if i % 3 else i, [f"w{rng.randint(0, 9999)}" for _ in range(rng.randint(0, 40))], [f"v{i}"] * (i % 25)) for i in range(120)]
+    rows = [(i, " ".join(a + passage + b)) for i, a, b in docs] + [(1000, " ".join(passage[:19])), (1001, None)]
+    rows += [rows[7], rows[60]]
+    seen, want = set(), {}
+    for i, t in sorted(set(rows), key=lambda r: r[0]):
+        w = (t or "").split()
+        gone = [False] * len(w)
+        for a in range(len(w) - 19):
+            gram = tuple(w[a : a + 20])
+            if gram in seen:
+                gone[a : a + 20] = [True] * 20
+            seen.add(gram)
+        want[i] = sum(gone)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = [(r["doc_id"], r["n_removed"]) for r in substrings.remove_repeats(frame).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == len(rows) and dict(got) == want
