@@ -8,8 +8,8 @@ threshold the matched span goes.
 streaming every document past an automaton of every shard grows with its square (README has the
 figures), so the matching statistic is cut at the threshold: a window of ``words`` words is
 matched iff its fingerprint has an earlier owner. Fingerprints (two rolling hashes over 64-bit
-word hashes: one whole, 16 bits of the other, and further bits of that as the shard's number, some
-86 bits at 30 GB; false matches are one in 10 million such runs) are packed per batch of documents and dealt by their own value; a shard
+word hashes: one whole, 16 bits of the other, and further bits of that as the shard's number, 86
+bits at least; fewer than one run of 30 GB in a million has a false match) are packed per batch of documents and dealt by their own value; a shard
 sorts its share, keeps the first (doc_id, start) of each and sends the other windows back to the
 batch they came from, where they merge into spans. A batch first compares its windows with each
 other and sends only the first of equals, so a passage in a third of all documents reaches its
@@ -147,7 +147,9 @@ def _prints(words: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
 def _later(key: np.ndarray, more: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Marks windows whose print (key, more) another one with a smaller (doc, start) has."""
     order = np.argsort(key)
-    same = np.r_[False, key[order][1:] == key[order][:-1]]
+    line = key[order]
+    same = np.r_[False, line[1:] == line[:-1]]
+    del line
     rows = order[same | np.r_[same[1:], False]]
     rows = rows[np.lexsort((start[rows], doc[rows], more[rows], key[rows]))]
     later = np.zeros(len(key), bool)
@@ -189,15 +191,17 @@ def _later_windows(docs: DataFrame, words: int, parts: int) -> DataFrame:
                 continue
             k, other = np.concatenate(ks), np.concatenate(others)
             more, part = other.astype("<u2"), ((other >> np.uint64(16)) % np.uint64(parts)).astype(np.uint32)
+            n_windows = [len(x) for x in ks]
+            del other, ks, others
             origin = f"{task}-{number}"
-            size, who = np.array([len(x) for x in ks]), np.array(docs_in)
+            size, who = np.array(n_windows), np.array(docs_in, np.int32)
             doc = np.repeat(who, size)
             begin = np.r_[0, size.cumsum()]
-            number_of, at = np.array(ids, np.int64), np.arange(len(k))
-            start = at - np.repeat(begin[:-1], size)
-            gone = _later(k, more, number_of[doc], start)  # windows that the batch itself has earlier
+            number_of = np.array(ids, np.int64)
+            # windows that the batch itself has earlier
+            gone = _later(k, more, number_of[doc], np.arange(len(k)) - np.repeat(begin[:-1], size))
             yield {"part": zlib.crc32(origin.encode()) % parts, "origin": origin, "names": zlib.compress(json.dumps([ids, prints]).encode(), 1),
-                   "lengths": _pack(np.concatenate([size, who]), "<i8"), "line": _pack(at[gone])}
+                   "lengths": _pack(np.concatenate([size, who]), "<i8"), "line": _pack(np.flatnonzero(gone))}
             part[gone] = parts
             order = np.argsort(part, kind="stable")
             bounds = np.searchsorted(part[order], np.arange(parts + 1))
@@ -244,7 +248,7 @@ def _later_windows(docs: DataFrame, words: int, parts: int) -> DataFrame:
         return pd.DataFrame(out, columns=["doc_id", "print", "spans"]).astype({"doc_id": "Int64"})
 
     def blocks(batches):
-        return gathered((pd.DataFrame({c: [block.get(c)] for c in BLOCK}) for block in emit(batches)), 64)
+        return gathered((pd.DataFrame({c: [block.get(c)] for c in BLOCK}) for block in emit(batches)), 8)
 
     shape = "part int, origin string, names binary, lengths binary, keys binary, more binary, line binary, ids binary, begins binary, counts binary"
     blobs = docs.mapInPandas(blocks, shape)
