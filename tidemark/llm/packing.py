@@ -23,6 +23,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,9 +34,9 @@ RANK_ROWS = 50_000
 CACHE_BYTES = 24 << 20
 ENTRY_BYTES = 150
 MARK = "\x01"
-WORDS_KEPT = 50_000
 #: Beyond these characters, Unicode versions and context could make a difference.
-ODD = re.compile("[^\x20-\x7e\u00a1-\u012f]")
+ODD = r"[^\n\x20-\x7e\x{a1}-\x{12f}]"
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -52,16 +53,18 @@ BYTE_NAMES = _byte_names()
 
 
 class Tokens:
-    """Ids of whole texts, from a cache of the ids of space-separated chunks.
-
-    The tokenizer's rules never join across a space or newline, so chunks are independent; a
-    text that holds one of its special tokens is encoded in one go. The cache has a new and an
-    old half. When the new one has reached ``CACHE_BYTES`` it becomes the old one, from which
-    chunks that are met again move on; the rest is forgotten at the next change.
-
-    Of a tokenizer that lower-cases, splits by one pattern and then applies byte-level BPE, new
-    chunks of plain Latin characters are split here and only their words go to the BPE model;
-    all other chunks go through the whole tokenizer.
+    """Ids of whole texts, from a cache of the ids of words.
+
+    The tokenizer's rules never join across a space or newline, so the chunks between them are
+    independent; a text that holds one of its special tokens is encoded in one go. Texts come as
+    Arrow arrays, whose chunks and words are split and told apart there, so that Python meets
+    each word once a call. The cache has a new and an old half. When the new one has reached
+    ``CACHE_BYTES`` it becomes the old one, from which words that are met again move on; the
+    rest is forgotten at the next change.
+
+    Of a tokenizer that lower-cases, splits by ``SPLIT`` and then applies byte-level BPE, chunks
+    of plain Latin characters are split here and only their words go to the BPE model; any other
+    chunk counts as one word and goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -69,39 +72,24 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache, self.old, self.size = Tokenizer.from_file(path), {}, {}, 0
+        self.model = self.tokenizer.model
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids  # a lone control character is one id
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.split, self.words = self._pattern(json.loads(self.tokenizer.to_str())), {}
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = "|".join(map(re.escape, [MARK, *special])) if len(self.mark) == 1 else ""  # matches texts to encode in one go
+        self.odd = ODD if self._splits(json.loads(self.tokenizer.to_str())) else ""  # matches what is not split here
 
     @staticmethod
-    def _pattern(made: dict):
-        """What splits a lower-cased text, if that and byte-level BPE is all the tokenizer does."""
+    def _splits(made: dict) -> bool:
+        """Whether lower case, ``SPLIT`` and byte-level BPE is all that the tokenizer does."""
         steps = [n.get("type") for n in (made["normalizer"] or {}).get("normalizers", [])]
         split = (made["pre_tokenizer"] or {}).get("pretokenizers", [])
         plain = steps == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in split] == ["Split", "ByteLevel"] and made["model"]["type"] == "BPE"
-        if not plain or split[0]["behavior"] != "Removed" or not split[0]["invert"] or split[1]["use_regex"] or split[1]["add_prefix_space"]:
-            return None
-        import regex
-
-        return regex.compile(split[0]["pattern"]["Regex"]).findall
+        return plain and split[0]["pattern"] == {"Regex": SPLIT} and split[0]["behavior"] == "Removed" and split[0]["invert"] and not (
+            split[1]["use_regex"] or split[1]["add_prefix_space"])
 
     def _word(self, word: str) -> bytes:
-        got = self.words.get(word)
-        if got is None:
-            if len(self.words) > WORDS_KEPT:
-                self.words.clear()
-            found = self.tokenizer.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_NAMES))
-            got = self.words[word] = array.array("I", [t.id for t in found]).tobytes()
-        return got
-
-    def _learn_all(self, chunks: list[str]) -> None:
-        if self.split is not None:
-            for c in chunks:
-                if not ODD.search(c):
-                    self.cache[c] = b"".join(map(self._word, self.split(c.lower())))
-            chunks = [c for c in chunks if c not in self.cache]
-        if chunks:
-            self.cache.update(zip(chunks, self._learn(chunks)))
+        found = self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_NAMES))
+        return array.array("I", [t.id for t in found]).tobytes()
 
     def _learn(self, chunks: list[str]) -> list[bytes]:
         """Ids of new chunks, encoded in one go with a mark between each two."""
@@ -110,31 +98,75 @@ class Tokens:
         cuts, data = [-1, *np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)], ids.tobytes()
         return [data[4 * a + 4 : 4 * b] for a, b in zip(cuts, cuts[1:])]
 
-    def _add(self, missing: set[str]) -> None:
-        new, old = [], self.old
-        for c in missing:
-            ids = old.get(c)
+    def _known(self, words: pa.Array) -> list[bytes]:
+        """Ids of distinct words."""
+        names, odd = (a.to_numpy(zero_copy_only=False).tolist() for a in (words, pc.match_substring_regex(words, self.odd)))
+        found, chunks = list(map(self.cache.get, names)), []
+        for i, (name, ids) in enumerate(zip(names, found)):
             if ids is None:
-                new.append(c)
-            else:
-                self.cache[c] = ids
-        self._learn_all(new)
-        self.size += sum(ENTRY_BYTES + 2 * len(c) for c in missing)
-
-    def encode(self, text: str) -> np.ndarray:
-        if MARK in text or len(self.mark) != 1 or "<|" in text and any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+                ids = self.old.get(name)
+                if ids is None and odd[i]:
+                    chunks.append(i)
+                    continue
+                self.cache[name] = found[i] = self._word(name) if ids is None else ids
+                self.size += ENTRY_BYTES + 2 * len(name)
+        for i, ids in zip(chunks, self._learn([names[i] for i in chunks]) if chunks else []):
+            self.cache[names[i]] = found[i] = ids
+            self.size += ENTRY_BYTES + 2 * len(names[i])
+        return found
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """The little-endian 32-bit ids of each text; null is an empty one."""
         if self.size > CACHE_BYTES:
             self.old, self.cache, self.size = self.cache, {}, 0
-        chunks = text.replace("\n", " ").split(" ")
-        if missing := set(chunks).difference(self.cache):
-            self._add(missing)
-        return np.frombuffer(b"".join(map(self.cache.__getitem__, chunks)), "<u4")
+        texts = pc.fill_null(texts, "")
+        whole = pc.match_substring_regex(texts, self.whole)
+        rest = pc.replace_substring(pc.if_else(whole, "", texts), "\n", " ")
+        chunks = _parts(pc.if_else(pc.match_substring_regex(rest, self.odd), rest, pc.ascii_lower(rest)))
+        names = chunks.values.dictionary
+        words = _parts(pc.if_else(pc.match_substring_regex(names, self.odd), names, _spaced(pc.utf8_lower(names))))
+        known = self._known(words.values.dictionary)
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        ids, cuts = _spread(np.frombuffer(b"".join(known), "<u4"), np.append(0, np.cumsum(lengths)), words)
+        ids, cuts = _spread(ids, cuts, chunks)
+        data, cuts = ids.tobytes(), (4 * cuts).tolist()
+        found = [data[a:b] for a, b in zip(cuts, cuts[1:])]
+        for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
+            found[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4").tobytes()
+        return found
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(self.encode_all(pa.array([text], pa.string()))[0], "<u4")
+
+
+def _parts(texts: pa.Array) -> pa.Array:
+    """The space-separated parts of each text, as lists of a dictionary's entries."""
+    lists = pc.split_pattern(texts, " ")
+    return pa.ListArray.from_arrays(lists.offsets, lists.values.dictionary_encode())
+
+
+def _spaced(chunks: pa.Array) -> pa.Array:
+    """Chunks with a space between the words that SPLIT finds. Letters alone, and letters before
+    one point, need no pattern matching, which is slow."""
+    stem, last = pc.utf8_slice_codeunits(chunks, 0, -1), pc.utf8_slice_codeunits(chunks, -1)
+    ended = pc.and_(pc.utf8_is_alpha(stem), pc.is_in(last, pa.array([*".,;:!?"], chunks.type)))
+    easy = pc.or_(ended, pc.utf8_is_alpha(chunks))
+    hard = pc.ascii_rtrim(pc.replace_substring_regex(chunks.filter(pc.invert(easy)), f"({SPLIT})", r"\1 "), " ")
+    made = pc.if_else(ended, pc.binary_join_element_wise(stem, last, pa.scalar(" ", chunks.type)), chunks)
+    return pc.replace_with_mask(made, pc.invert(easy), hard)
+
+
+def _spread(ids: np.ndarray, cuts: np.ndarray, lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of ids whose dictionary entries end at cuts: the ids of each list, and where these end."""
+    which, at = lists.values.indices.to_numpy(), lists.offsets.to_numpy()
+    n = np.diff(cuts)[which]
+    ends = np.append(0, np.cumsum(n))
+    return ids[np.repeat(cuts[which] - ends[:-1], n) + np.arange(ends[-1])], ends[at]
 
 
 @cache
 def _tokens(path: str) -> Tokens:
-    """One a worker process: its cache outlives a task, of 2 * CACHE_BYTES and one text's chunks or so."""
+    """One a worker process: its cache outlives a task, of 2 * CACHE_BYTES and one slice's chunks or so."""
     return Tokens(path)
 
 
@@ -146,8 +178,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
         tokens = _tokens(tokenizer_path)
         for batch in slices(batches):
             rows = []
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-                data = tokens.encode(text or "").tobytes() + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.encode_all(batch.column(1))):
+                data = ids + end
                 for i, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     rows.append((doc_id, i, at // 4, len(part) // 4, zlib.crc32(part)))
