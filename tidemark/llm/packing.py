@@ -33,6 +33,8 @@ CAPACITY = 2048
 RANK_ROWS = 50_000
 CACHE_BYTES = 24 << 20
 ENTRY_BYTES = 150
+#: Of text at a time: smaller than elsewhere, because Arrow and numpy hold several times as much.
+SLICE_BYTES = 1 << 20
 MARK = "\x01"
 #: Beyond these characters, Unicode versions and context could make a difference.
 ODD = r"[^\n\x20-\x7e\x{a1}-\x{12f}]"
@@ -176,7 +178,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 
     def run(batches):
         tokens = _tokens(tokenizer_path)
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE_BYTES):
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.encode_all(batch.column(1))):
                 data = ids + end
@@ -185,6 +187,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
                     rows.append((doc_id, i, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
                                              names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            pa.default_memory_pool().release_unused()  # a reused worker lives through other stages
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
