@@ -1,8 +1,12 @@
 """Many small segments: tasks follow the records, and an append is written by many tasks."""
 
+import os
+
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from tidemark import errors
 from tidemark.plans import timelines
 from tidemark.plans.timelines import Timelines
 from tidemark.sources import timeline
@@ -87,3 +91,19 @@ def test_an_append_cuts_the_same_segments_from_many_tasks(spark, tmp_path, monke
     assert log.append(wide, ["n"]) == {0: 160, 1: 160}  # bytes could cut it: one task a partition
     one = {r["lsn"]: bytes(r["value"]) for r in log.records().where("partition = 0").collect()}
     assert sorted(one) == list(range(160)) and all(v == (b"x" * 5000 if i == 155 else b"%d" % (2 * i)) for i, v in one.items())
+
+
+def test_verified_reads_check_every_segment_of_a_task(tmp_path):
+    written(str(tmp_path))
+    options = {"path": str(tmp_path), "stream": "s", "partitions": "1", "verify": "true"}
+    reader = TimelineReader(options)
+    assert len(reader.partitions()) <= TASKS + 2 and [r["lsn"] for r in rows(reader)] == list(range(1200))
+    hurt = list(reader.store.segments(reader.store.load(1)))[301].uri
+    data = bytearray(open(hurt, "rb").read())
+    data[64 + 60] ^= 1  # a reserved byte of the first block's preamble: only the segment's hash covers it
+    os.chmod(hurt, 0o644)
+    open(hurt, "wb").write(data)
+    timeline.opened.cache_clear()
+    assert len(rows(TimelineReader(options | {"verify": "false"}))) == 1200
+    with pytest.raises(errors.CorruptDataError):
+        rows(TimelineReader(options))
